@@ -13,5 +13,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(common.documents(spark, sf_dir)).drop("p_good")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules)}
 ORACLES: dict[str, str] = {}
