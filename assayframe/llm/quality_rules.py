@@ -19,20 +19,19 @@ from . import common
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÈÉÊËÎÏÔÙÛÜÁÍÑÓÚ"
-#: name -> (bad when, good when) over the columns of features(); neither: abstain.
+#: name -> (bad when, good when, prior belief that a bad vote is right) over the columns of features(); neither: abstain.
 RULES = {
-    "symbols": ("n_symbols > 0.3 * n_words", "false"),
-    "repeats": ("n_repeat_words > 0.3 * n_words", "false"),
-    "lines": ("n_dup_lines > 0.3 * n_lines", "false"),
-    "capitals": ("n_upper > 0.4 * word_chars", "false"),
-    "shouts": ("n_shouts > 0.3 * n_words", "false"),
-    "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
-    "stops": ("n_stops < 0.002 * n_words or n_stops > 0.6 * n_words", "n_stops between 0.01 * n_words and 0.4 * n_words"),
-    "vocabulary": ("n_distinct < 0.15 * n_words", "n_distinct > 0.3 * n_words"),
+    "symbols": ("n_symbols > 0.3 * n_words", "n_symbols <= 0.02 * n_words", 0.95),
+    "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.1 * n_words", 0.95),
+    "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0", 0.6),
+    "capitals": ("n_upper > 0.4 * word_chars", "n_upper <= 0.2 * word_chars", 0.95),
+    "shouts": ("n_shouts > 0.3 * n_words", "n_shouts <= 0.05 * n_words", 0.95),
+    "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words", "word_chars between 3 * n_words and 9 * n_words", 0.7),
+    "stops": ("n_stops < 0.002 * n_words or n_stops > 0.6 * n_words", "n_stops between 0.01 * n_words and 0.4 * n_words", 0.6),
+    "vocabulary": ("n_distinct < 0.15 * n_words", "n_distinct > 0.3 * n_words", 0.8),
 }
-#: Log odds that one vote may have. A fault, once found, always counts against the text; a pass is weak evidence,
-#: as each kind of bad text passes the rules made for the other kinds.
-BAD, GOOD = (-8.0, -1.0), (0.0, 0.5)
+#: Log odds that a vote which is no fault may have: weak, as each kind of bad text passes the rules made for the others.
+PASS = (0.0, 0.5)
 ROUNDS, SMOOTH, START = 25, 1.0, 0.9
 
 
@@ -70,30 +69,40 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def votes() -> F.Column:
-    return F.array(*[F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for bad, good in RULES.values()])
+    return F.array(*[F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for bad, good, _ in RULES.values()])
 
 
 def fit(voted: DataFrame) -> DataFrame:
-    """One row ``m``: the prior's log odds, and each rule's log odds when it votes bad and when it votes good."""
-    k = len(RULES)
+    """One row ``m``: the prior's log odds, and each rule's log odds when it votes bad, good, or abstains.
+
+    Rules that never overlap say nothing about each other, so each has a prior: as many votes again
+    as it cast against texts, of which the share in RULES is right.
+    """
+    last = len(RULES) - 1
     patterns = voted.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     packed = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"))
-    total = "aggregate(pats, 0D, (a, e) -> a + e.n{})"
-    got = "aggregate(zip_with(pats, q, (e, g) -> if({v}, e.n * {g}, 0D)), 0D, (a, x) -> a + x)"
-    share = lambda v, g: f"({got.format(v=f'get(e.v, j) = {v}', g=g)} + {SMOOTH}D) / ({got.format(v='true', g=g)} + {2 * SMOOTH}D)"
-    odds = lambda v: f"ln({share(v, 'g')}) - ln({share(v, '(1D - g)')})"
-    step = f"""transform(array(q), q -> named_struct(
-        'prior', transform(array((aggregate(zip_with(pats, q, (e, g) -> e.n * g), 0D, (a, x) -> a + x) + {SMOOTH}D) / ({total.format('')} + {2 * SMOOTH}D)), x -> ln(x) - ln(1D - x))[0],
-        'bad', transform(sequence(0, {k - 1}), j -> greatest({BAD[0]}D, least({BAD[1]}D, {odds(-1)}))),
-        'good', transform(sequence(0, {k - 1}), j -> greatest({GOOD[0]}D, least({GOOD[1]}D, {odds(1)})))))[0]"""
-    start = f"transform(pats, e -> if(exists(e.v, x -> x = -1), {1 - START:.1f}D, {START}D))"
+    beliefs = "array(" + ", ".join(f"{p}D" for *_, p in RULES.values()) + ")"
+    sums = lambda w, when: f"aggregate(zip_with(pats, q, (e, g) -> if({when}, e.n * {w}, 0D)), 0D, (a, x) -> a + x)"
+    good, bad, cast = sums("g", "true"), sums("(1D - g)", "true"), sums("1D", "get(e.v, j) = -1")
+    fault = (
+        f"ln(({sums('g', 'get(e.v, j) = -1')} + (1D - get({beliefs}, j)) * {cast} + {SMOOTH}D) / ({good} + {cast} + {2 * SMOOTH}D))"
+        f" - ln(({sums('(1D - g)', 'get(e.v, j) = -1')} + get({beliefs}, j) * {cast} + {SMOOTH}D) / ({bad} + {cast} + {2 * SMOOTH}D))"
+    )
+    passed = lambda v: (
+        f"least({PASS[1]}D, greatest({PASS[0]}D, ln(({sums('g', f'get(e.v, j) = {v}')} + {SMOOTH}D) / ({good} + {2 * SMOOTH}D))"
+        f" - ln(({sums('(1D - g)', f'get(e.v, j) = {v}')} + {SMOOTH}D) / ({bad} + {2 * SMOOTH}D))))"
+    )
+    each = lambda x: f"transform(sequence(0, {last}), j -> {x})"
+    step = f"""transform(array(<q>), q -> named_struct('prior', ln({good} + {SMOOTH}D) - ln({bad} + {SMOOTH}D),
+        'bad', {each(f"least(0D, {fault})")}, 'good', {each(passed(1))}, 'none', {each(passed(0))}))[0]"""
+    start = f"transform(pats, e -> if(exists(e.v, x -> x = -1), 1D - {START}D, {START}D))"
     again = f"transform(pats, e -> {posterior('e.v', 's')})"
-    model = packed.select("pats", F.expr(step.replace("array(q)", f"array({start})", 1)).alias("m0"))
-    return model.select(F.expr(f"aggregate(sequence(2, {ROUNDS}), m0, (s, r) -> {step.replace('array(q)', f'array({again})', 1)})").alias("m"))
+    model = packed.select("pats", F.expr(step.replace("<q>", start)).alias("m0"))
+    return model.select(F.expr(f"aggregate(sequence(2, {ROUNDS}), m0, (s, r) -> {step.replace('<q>', again)})").alias("m"))
 
 
 def posterior(v: str, m: str) -> str:
-    vote = f"aggregate(transform({v}, (x, j) -> case x when -1 then get({m}.bad, j) when 1 then get({m}.good, j) else 0D end), 0D, (a, b) -> a + b)"
+    vote = f"aggregate(transform({v}, (x, j) -> case x when -1 then get({m}.bad, j) when 1 then get({m}.good, j) else get({m}.none, j) end), 0D, (a, b) -> a + b)"
     return f"1D / (1D + exp(-({m}.prior + {vote})))"
 
 
