@@ -31,7 +31,9 @@ RULES = {
     "vocabulary": ("n_distinct < 0.15 * n_words", "n_distinct > 0.3 * n_words", 0.8),
 }
 #: Log odds that a vote which is no fault may have: weak, as each kind of bad text passes the rules made for the others.
-PASS = (0.0, 0.5)
+PASS = (0.0, 0.15)
+#: Prior votes for each vote that a rule casts against a text.
+BELIEF = 3.0
 ROUNDS, SMOOTH, START = 25, 1.0, 0.9
 
 
@@ -75,15 +77,15 @@ def votes() -> F.Column:
 def fit(voted: DataFrame) -> DataFrame:
     """One row ``m``: the prior's log odds, and each rule's log odds when it votes bad, good, or abstains.
 
-    Rules that never overlap say nothing about each other, so each has a prior: as many votes again
-    as it cast against texts, of which the share in RULES is right.
+    Rules that never overlap say nothing about each other, so each has a prior: BELIEF votes for
+    each that it cast against a text, of which the share in RULES is right.
     """
     last = len(RULES) - 1
     patterns = voted.groupBy("v").agg(F.count("*").cast("double").alias("n"))
     packed = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("pats"))
     beliefs = "array(" + ", ".join(f"{p}D" for *_, p in RULES.values()) + ")"
     sums = lambda w, when: f"aggregate(zip_with(pats, q, (e, g) -> if({when}, e.n * {w}, 0D)), 0D, (a, x) -> a + x)"
-    good, bad, cast = sums("g", "true"), sums("(1D - g)", "true"), sums("1D", "get(e.v, j) = -1")
+    good, bad, cast = sums("g", "true"), sums("(1D - g)", "true"), f"({BELIEF}D * {sums('1D', 'get(e.v, j) = -1')})"
     fault = (
         f"ln(({sums('g', 'get(e.v, j) = -1')} + (1D - get({beliefs}, j)) * {cast} + {SMOOTH}D) / ({good} + {cast} + {2 * SMOOTH}D))"
         f" - ln(({sums('(1D - g)', 'get(e.v, j) = -1')} + get({beliefs}, j) * {cast} + {SMOOTH}D) / ({bad} + {cast} + {2 * SMOOTH}D))"
