@@ -19,5 +19,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.documents(spark, sf_dir)).drop("p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules)}
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifiers import score_quality
+
+    return score_quality(common.documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .classifiers import score_toxicity
+
+    return score_toxicity(common.documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op8_toxicity)}
 ORACLES: dict[str, str] = {}
