@@ -72,6 +72,9 @@ def shapes(docs: DataFrame) -> DataFrame:
     )
 
 
+PRUDENCE = 0.975
+
+
 class PositiveUnlabelled:
     """Additive logistic model over quantile bins, fitted to the non-negative unbiased risk.
 
@@ -80,7 +83,7 @@ class PositiveUnlabelled:
     calling the trusted positives negative.
     """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, rounds: int = 400, rate: float = 0.05, l2: float = 1e-3):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, rounds: int = 1000, rate: float = 0.1, l2: float = 1e-5):
         self.cuts = [np.unique(np.quantile(unlabelled[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(unlabelled.shape[1])]
         # rare extremes matter as much as quantiles: three more cuts between the largest quantile and the maximum
         self.cuts = [np.unique(np.concatenate([c, np.linspace(c[-1] if len(c) else 0, unlabelled[:, j].max(), 5)[1:-1]])) for j, c in enumerate(self.cuts)]
@@ -113,11 +116,12 @@ class PositiveUnlabelled:
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> PositiveUnlabelled | float:
     """Learn from at most ``sample`` trusted positives and twice as many unlabelled rows.
 
-    The class prior is the share of label 1 among all labelled training rows.
+    The class prior is the share of label 1 among all labelled training rows, times PRUDENCE: a prior
+    that is too high lets bad texts pass as good, one slightly too low costs nothing.
     """
     train = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n, share = train.agg(F.count("*"), F.avg(F.col("quality").cast("double"))).first()
-    prior = min(max(share if n else 0.5, 0.05), 0.95)
+    prior = min(max(PRUDENCE * share if n else 0.5, 0.05), 0.95)
     good = bounded(train.where("quality = 1"), sample).select("doc_id", F.lit(1).alias("kind"))
     web = bounded(docs.where("doc_id is not null").where(~held_out()).select("doc_id").distinct(), 2 * sample).select("doc_id", F.lit(0).alias("kind"))
     picked = good.unionByName(web).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))

@@ -35,5 +35,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(common.documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op8_toxicity)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op8_toxicity, op9_pii)}
 ORACLES: dict[str, str] = {}
