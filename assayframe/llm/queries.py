@@ -29,6 +29,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(common.documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .backoff_lm import score
+
+    return score(common.documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .classifiers import score_toxicity
 
@@ -41,5 +47,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op8_toxicity, op9_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii)}
 ORACLES: dict[str, str] = {}
