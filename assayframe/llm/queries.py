@@ -47,5 +47,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import removed
+
+    return removed(common.documents(spark, sf_dir)).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
