@@ -23,6 +23,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .classifiers import score_quality
 
@@ -53,5 +59,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(common.documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
