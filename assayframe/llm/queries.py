@@ -23,6 +23,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: A public byte-pair model; a parameter of the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import digest
+
+    return digest(common.documents(spark, sf_dir), MODEL)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -59,5 +69,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(common.documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_sentencepiece, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
