@@ -33,6 +33,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(common.documents(spark, sf_dir), MODEL)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import passages
+
+    return passages(common.documents(spark, sf_dir))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -69,5 +75,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(common.documents(spark, sf_dir)).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_sentencepiece, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality_rules, op3_sentencepiece, op4_substring_dedup, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_toxicity, op9_pii, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
