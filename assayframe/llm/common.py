@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -65,6 +66,12 @@ def map_text(docs: DataFrame, keep: list[str], f: Callable, schema: str, text: s
     return docs.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished stages' shuffle files now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _ARROW = {
     "bigint": pa.int64(),
     "long": pa.int64(),

@@ -209,6 +209,7 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 25, block: int = 4 <<
 
     counted = _over(docs, hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = Bitmap(counted, "h", bits)
+    common.release(docs.sparkSession)
 
     def surroundings(o, t):
         at, h = anchors(t, length)
@@ -229,6 +230,11 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 25, block: int = 4 <<
     need = first.join(several, "h", "left_semi").select("h", "o", "p")
 
     wanted = Bitmap(_placed(need), "y", bits + 1)
+    gone = common.store(copies, "copies")  # after this, neither table is read again
+    common.drop(repeated)
+    common.drop(first)
+    del copies, need, several, first, repeated
+    common.release(docs.sparkSession)
 
     def texts(o, t):
         at, h = anchors(t, length)
@@ -260,7 +266,7 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 25, block: int = 4 <<
             yield pa.RecordBatch.from_pydict(_block(rows, length), schema=kinds)
 
     kinds = pa.schema([("o", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    return copies.unionByName(meet.mapInArrow(walk, "o bigint, a bigint, b bigint"))
+    return gone.unionByName(meet.mapInArrow(walk, "o bigint, a bigint, b bigint"))
 
 
 def _placed(need: DataFrame) -> DataFrame:
@@ -288,7 +294,10 @@ def removed(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     """The contract's columns and ``kept``, the bytes left of each text."""
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.col("text").cast("binary").alias("t"))
     found = marks(base.select("o", "t"), length, **options)
-    found = found.groupBy("o").agg(F.collect_set(F.struct("a", "b")).alias("m"))
+    found = common.store(found.groupBy("o").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
+    common.release(docs.sparkSession)
+    # documents without marks need not move; the others meet theirs
+    marked = Bitmap(found.select(F.xxhash64("o").alias("y")), "y", 23)
 
     def run(batches):
         for batch in batches:
@@ -304,4 +313,15 @@ def removed(docs: DataFrame, length: int = 100, **options) -> DataFrame:
 
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
-    return base.join(found, "o", "left").select("doc_id", "t", "m").mapInArrow(run, schema)
+
+    def apart(want: bool) -> DataFrame:
+        def pick(batches):
+            for batch in batches:
+                y = np.array(batch.column("y").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                yield batch.filter(pa.array(marked.has(y) == want)).select(["doc_id", "o", "t"])
+
+        return base.withColumn("y", F.xxhash64("o")).mapInArrow(pick, "doc_id bigint, o bigint, t binary")
+
+    still = apart(False).withColumn("m", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    moved = apart(True).join(found, "o", "left")
+    return still.select("doc_id", "t", "m").unionByName(moved.select("doc_id", "t", "m")).mapInArrow(run, schema)
