@@ -257,9 +257,14 @@ def support(claim: Column, passage: Column, filler: list[str] | None = None) ->
     core = F.lower(fold(claim))
     for w in filler or []:
         core = F.replace(core, F.lit(w), F.lit(""))
-    pairs = bigrams(plain(core))
-    hits = F.size(F.filter(pairs, lambda p: F.contains(plain(passage), p)))
-    return F.when(F.size(pairs) > 0, hits / F.size(pairs)).otherwise(F.when(F.contains(plain(passage), plain(core)), 1.0).otherwise(0.0))
+    once = F.struct(plain(core).alias("c"), plain(passage).alias("p"))
+
+    def share(x: Column) -> Column:
+        hits = lambda pairs: F.size(F.filter(pairs, lambda p: F.contains(x["p"], p))) / F.size(pairs)
+        whole = F.when(F.contains(x["p"], x["c"]), 1.0).otherwise(0.0)
+        return F.when(F.length(x["c"]) > 1, let(bigrams(x["c"]), hits)).otherwise(whole)
+
+    return let(once, share)
 
 
 def hmac_sha256(key: str, c: Column) -> Column:

@@ -52,8 +52,8 @@ def combine(m: Column, f: Column) -> Column:
 
 
 def by_sex(v: Column, m: Column, f: Column, sex: Column, factor: Column | None = None, cut: Column | None = None) -> Column:
-    a, b = status(v, m, factor, cut), status(v, f, factor, cut)
-    return F.when(sex == "M", a).when(sex == "F", b).otherwise(combine(a, b))
+    both = F.struct(status(v, m, factor, cut).alias("m"), status(v, f, factor, cut).alias("f"))
+    return T.let(both, lambda x: F.when(sex == "M", x["m"]).when(sex == "F", x["f"]).otherwise(combine(x["m"], x["f"])))
 
 
 def direction(s: Column) -> Column:
