@@ -1,0 +1,408 @@
+"""Each operator against a brute-force version, planted cases, and odd input."""
+
+import collections
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from assayframe.llm import backoff_lm, classifiers, common, decontaminate, pieces, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+SYLLABLES = "an ber co de er fi ga he in ka lo mi no ou pa re sti ta un ver".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    words = ["".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 4))) for _ in range(n)]
+    return " ".join(w + ("." if i % 9 == 8 else "") for i, w in enumerate(words))
+
+
+def corpus():
+    r = random.Random(3)
+    texts = [prose(i, r.randint(60, 160)) for i in range(30)]
+    shared = prose(900, 60)
+    texts += [texts[0], texts[1], texts[2] + " " + prose(77, 3), prose(50, 30) + " " + shared + " " + prose(51, 20), prose(52, 8) + "\n" + shared + "\n" + prose(53, 40)]
+    texts += ["", None, "a", "a b", "Of " * 400, "x\n" * 90, "word\tword\nword " * 40, prose(99, 5000)]
+    return texts
+
+
+def frame(spark, texts, first=0):
+    rows = [(i + first, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Ordinary texts, copies, and odd ones, with a null id, a row twice, and columns named like internal ones."""
+    df = frame(spark, corpus())
+    more = spark.createDataFrame([(None, "no id here", "en", "s", 10), (0, corpus()[0], "en", "s", 1)], DOCS)
+    return df.unionByName(more).withColumns({"h": F.lit(1), "o": F.lit(2), "t": F.lit("x"), "key": F.lit(5), "fp": F.lit(3), "n": F.lit(0)}).cache()
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def brute_print(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = words(low)
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def reach(fps, limit=3):
+    """Smallest id reachable, by plain search."""
+    ids = list(fps)
+    out = {}
+    for i in sorted(ids, key=lambda x: (x is None, x)):
+        if i in out:
+            continue
+        queue, out[i] = [i], i
+        while queue:
+            a = queue.pop()
+            for b in ids:
+                if b not in out and bin(fps[a] ^ fps[b]).count("1") <= limit:
+                    out[b] = i
+                    queue.append(b)
+    return out
+
+
+class TestSimhash:
+    def test_brute(self, docs):
+        got = simhash.near_duplicates(docs).collect()
+        assert len(got) == docs.count()
+        fps = {r.doc_id: brute_print(r.text) for r in docs.collect()}
+        assert all(r.fingerprint == f"{fps[r.doc_id]:016x}" for r in got)
+        want = reach(fps)
+        assert {r.doc_id: r.component_id for r in got} == want
+
+    def test_hot_bucket_is_dealt_again_exactly(self, spark):
+        r = random.Random(5)
+        base = r.getrandbits(64)
+        fps = {base}
+        for _ in range(60):
+            x = r.choice(sorted(fps))
+            fps.add(x ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+        fps |= {r.getrandbits(64) for _ in range(50)}
+        signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+        nodes = spark.createDataFrame(signed, "fp bigint")
+        want = reach({x: x for x in sorted(fps)})
+        groups = collections.Counter(want.values())
+        for limit in (4096, 3):
+            roots = {r.node: r.root for r in common.components(simhash.links(nodes, limit=limit)).collect()}
+            found = collections.Counter(roots.get(x[0], x[0]) for x in signed)
+            assert sorted(found.values()) == sorted(groups.values())
+
+    def test_components_of_a_chain_and_a_star(self, spark):
+        edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
+        got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+        assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 140))
+
+    def test_keep_one(self, docs, none):
+        kept = [r.doc_id for r in simhash.keep_one(docs).collect()]
+        assert len(kept) == len(set(kept)) and 30 not in kept and 0 in kept
+        assert simhash.near_duplicates(none).count() == 0
+
+
+class TestQualityRules:
+    def brute(self, t):
+        w = words(t)
+        win = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {j for i in range(len(w) - 2) if win[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in (t or "").split("\n") if words(x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover)
+
+    def test_base(self, docs, none):
+        got = quality_rules.judge(docs)
+        assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+        text = {r.doc_id: r.text for r in docs.collect()}
+        rows = got.collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == self.brute(text[r.doc_id])
+            assert r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) and not (r.base_failed and r.kept)
+        assert quality_rules.judge(none).count() == 0
+
+    def test_junk_goes_and_prose_stays(self, spark):
+        good = [prose(i, 120) for i in range(60)]
+        bad = [" ".join(w + "###" for w in prose(100 + i, 80).split()) for i in range(8)]
+        bad += [prose(200 + i, 80).upper().replace(" ", "!! ") for i in range(8)]
+        got = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, good + bad)).collect()}
+        assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 76))
+
+    def test_native(self, docs):
+        plan = quality_rules.judge(docs)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+class TestPieces:
+    def test_library(self):
+        sentencepiece = pytest.importorskip("sentencepiece")
+        sp, p = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.Pieces.load(MODEL)
+        r = random.Random(1)
+        texts = [t or "" for t in corpus()] + ["".join(r.choice("abcdeinorst  \n\t.,éñ汉字012ABC😀aaa") for _ in range(r.randint(0, 90))) for _ in range(300)]
+        texts += ["a" * 500 + "international" * 30, " lead", "trail ", "a  b   c"]
+        assert p.encode(texts) == sp.encode(texts)
+        assert [p.decode(i) for i in p.encode(texts)] == texts
+
+    def test_unigram_scores(self):
+        r = random.Random(2)
+        vocab = sorted({"".join(r.choice("ab▁") for _ in range(n)) for n in (1, 2, 3, 4) for _ in range(30)} | {"a", "b", "▁"})
+        vocab = [v for v in vocab if not re.search("[^▁]▁", v)]
+        scores = [-r.uniform(1, 5) * len(v) ** 0.7 for v in vocab]
+        p = pieces.Pieces(["<unk>", *vocab], [0.0, *scores], "u" + "n" * len(vocab), False, True)
+        best = dict(zip(vocab, scores))
+
+        def brute(s):
+            b = [0.0] + [-math.inf] * len(s)
+            for e in range(1, len(s) + 1):
+                b[e] = max(b[k] + best.get(s[k:e], -math.inf) for k in range(e))
+            return b[-1]
+
+        for _ in range(100):
+            t = "".join(r.choice("ab ") for _ in range(r.randint(1, 60)))
+            ids = p.encode([t])[0]
+            assert p.decode(ids) == t and abs(sum(p.score[i] for i in ids) - brute("▁" + t.replace(" ", "▁"))) < 1e-9
+
+    def test_frames(self, docs, none):
+        got = pieces.digest(docs, MODEL).collect()
+        assert len(got) == docs.count() and all(r.round_trip for r in got)
+        wide = pieces.encode(docs, MODEL)
+        assert wide.columns == [*docs.columns, "ids", "n_tokens", "round_trip"]
+        assert [r.ids for r in wide.where("text is null").collect()] == [None] and [r.ids for r in wide.where("text = ''").collect()] == [[]]
+        assert pieces.digest(none, MODEL).count() == 0
+
+
+class TestSubstringDedup:
+    def test_planted(self, docs, none):
+        rows = substring_dedup.passages(docs).collect()
+        found = {r.doc_id for r in rows}
+        assert {0, 1, 2, 30, 31, 32, 33, 34} <= found and not found & set(range(3, 30)) and 42 not in found
+        text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+        for r in rows:
+            assert len(text[r.doc_id][r.a : r.b].split()) == r.n_words
+            assert r.removed == (r.doc_id != r.keeper_doc_id) or r.doc_id == r.keeper_doc_id
+        assert any(r.removed for r in rows if r.doc_id == 34) and not any(r.removed for r in rows if r.doc_id in (0, 33))
+        assert substring_dedup.passages(none).count() == 0
+
+    def test_near_copies_and_hot_buckets(self, spark):
+        base = prose(5, 400).split()
+        texts = []
+        for i in range(12):
+            w = list(base)
+            w[17 + 31 * i] = f"changed{i}"
+            texts.append(" ".join(w))
+        many = frame(spark, texts)
+        a = {(r.doc_id, r.a): r.class_id for r in substring_dedup.passages(many).collect()}
+        b = {(r.doc_id, r.a): r.class_id for r in substring_dedup.passages(many, limit=2).collect()}
+        assert a == b and len({d for d, _ in a}) == 12
+
+
+class TestDecontaminate:
+    def test_planted(self, spark, docs, none):
+        items = [prose(700 + i, 40) for i in range(20)]
+        bench = spark.createDataFrame([*enumerate(items), (20, None), (21, ""), (None, "x y z")], "item_id bigint, text string")
+        w = items[3].split()
+        para = " ".join(x for i, x in enumerate(w) if i % 6)
+        texts = [prose(i, 150) + " " + items[i % 20] + " " + prose(i + 40, 90) for i in range(10)] + [prose(60, 80) + " " + para + " " + prose(61, 80)] + [prose(300 + i, 200) for i in range(20)]
+        found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, texts), bench).collect()}
+        assert found == {(i, i) for i in range(10)} | {(10, 3)}
+        assert decontaminate.without_leaks(frame(spark, texts), bench).count() == 20
+        assert decontaminate.leaks(docs, bench).where("doc_id < 30").count() == 0
+        assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
+        assert decontaminate.without_leaks(docs, bench).count() == docs.count()
+
+    def test_recall_of_the_space(self, spark):
+        """Every pair that plain cosine over all terms puts high must be a candidate."""
+        items = [prose(700 + i, 40) for i in range(30)]
+        texts = [prose(i, 40) + " " + items[i % 30] + " " + prose(i + 400, 70) for i in range(60)]
+        space, _ = decontaminate.fit(frame(spark, texts), [decontaminate.words(x.encode()) for x in items], 64, 32, 1000, 0.5)
+        got = {(d, k) for d, _, k, _ in space.search([decontaminate.words(t.encode()) for t in texts], 0.25)}
+        want = {(i, i % 30) for i in range(60)}
+        assert len(want & got) >= 0.9 * len(want)
+
+    def test_lcs(self):
+        r = random.Random(4)
+        for _ in range(50):
+            a, b = ([r.choice([b"a", b"b", b"c"]) for _ in range(r.randint(0, 12))] for _ in range(2))
+            t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+            assert decontaminate.lcs(a, b) == t[-1][-1]
+
+
+def labelled(spark, texts, labels, name):
+    docs = frame(spark, texts)
+    return docs, spark.createDataFrame([(i, y, y) for i, y in enumerate(labels)], "doc_id bigint, quality int, toxic int")
+
+
+class TestClassifiers:
+    def test_quality(self, spark, docs, none):
+        texts, y = [], []
+        for i in range(400):
+            junk = i % 7 == 0
+            t = prose(i, 40 + i % 90)
+            texts.append(" ".join(x + "$$$" for x in t.split()) if junk and i % 2 else t.upper().replace(" ", "!! ") if junk else t)
+            y.append(int(not junk))
+        d, labels = labelled(spark, texts, y, "quality")
+        rows = classifiers.score_quality(d, labels).collect()
+        held = [r for r in rows if r.held_out]
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+        assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.95
+        assert classifiers.score_quality(docs, labels).count() == docs.count()
+        assert classifiers.score_quality(none, labels).count() == 0 and classifiers.score_quality(docs, labels.limit(0)).count() == docs.count()
+        kept = classifiers.keep_good(d, labels)
+        assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.predicted}
+
+    def test_toxicity(self, spark, docs, none):
+        texts, y = [], []
+        for i in range(900):
+            bad = i % 5 == 0
+            w = prose(i, 60).split()
+            if bad:
+                w[10], w[30] = random.Random(i).choice(["idiot", "moron", "zorkal" + SYLLABLES[i % 20]]), "you"
+            texts.append(" ".join(w))
+            y.append(int(bad))
+        d, labels = labelled(spark, texts, y, "toxic")
+        rows = classifiers.score_toxicity(d, labels).collect()
+        held = [r for r in rows if r.held_out]
+        assert np.mean([r.predicted == y[r.doc_id] for r in held]) > 0.95
+        assert classifiers.score_toxicity(docs, labels).count() == docs.count()
+        assert classifiers.score_toxicity(none, labels).count() == 0 and classifiers.score_toxicity(docs, labels.limit(0)).count() == docs.count()
+
+    def test_isotonic_and_trees(self):
+        r = np.random.default_rng(0)
+        x = r.normal(size=(2000, 4))
+        y = (x[:, 0] + x[:, 1] ** 2 > 1).astype(float)
+        trees = classifiers.Boosted(x, y)
+        assert np.mean((trees.margin(x) > 0) == y) > 0.95
+        scale = classifiers.Isotonic(trees.margin(x), y)
+        p = scale(np.linspace(-5, 5, 50))
+        assert (np.diff(p) >= 0).all() and 0 <= p.min() and p.max() <= 1
+
+
+class TestLanguageModel:
+    def test_base_and_known(self, docs, none):
+        rows = backoff_lm.score(docs).collect()
+        assert len(rows) == docs.count()
+        lists, train = {}, collections.Counter()
+        for r in docs.collect():
+            low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
+            lists[r.doc_id] = [*words(low), "\n"]
+            if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2:
+                train.update(lists[r.doc_id])
+        n, v = sum(train.values()), len(train)
+        for r in rows:
+            w = lists[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n)
+            assert abs(r.base_score - sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
+        held = [r for r in rows if r.held_out]
+        assert held and all(r.score <= 0 for r in rows)
+        assert backoff_lm.score(none).count() == 0
+
+    def test_probabilities_sum_to_one(self, spark):
+        docs = frame(spark, [" ".join(random.Random(i).choices(["a", "b", "c", "d"], [6, 3, 2, 1], k=60)) for i in range(40)])
+        model, _ = backoff_lm.fit(docs, size=1000)
+        every = [*model.id]
+        assert model.arcs and model.fail
+        for context in ([], [b"a"], [b"a", b"b"], [b"d", b"d"]):
+            before = model.walk(context)[0]
+            total = sum(10 ** (model.walk([*context, w])[0] - before) for w in every)
+            norm = 10**model.norm
+            assert abs(total - (norm - 1) / norm) < 0.02  # the rest is kept for words never seen
+
+
+class TestPii:
+    PATTERNS = {
+        0: re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 1: re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        2: re.compile(r"[0-9]([\x20-]?[0-9])+"), 3: re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+    }
+
+    def brute(self, t):
+        out = []
+        for k, p in self.PATTERNS.items():
+            for m in p.finditer(t):
+                d = re.sub(r"\D", "", m.group())
+                ok = k == 0 or (k == 1 and all(int(x) <= 255 for x in m.group().split("."))) or (k == 2 and 12 <= len(d) <= 19 and pii.luhn(d)) or (k == 3 and 9 <= len(d) <= 15)
+                if ok:
+                    out.append((m.start(), k, m.end()))
+        return sorted(out)
+
+    def test_patterns(self):
+        r = random.Random(8)
+        for _ in range(4000):
+            t = "".join(r.choice("ab.@-+ 0123456789()%_é") for _ in range(r.randint(0, 60)))
+            assert pii.base_spans(t) == self.brute(t), t
+        assert pii.base_spans("4111 1111 1111 1111") == [(0, 2, 19)]
+        assert pii.base_spans("a" * 50_000 + "@" + "1" * 50_000) == []
+
+    def test_terms_that_reveal(self, spark, docs, none):
+        texts = [prose(i, 20) + f" Quillhaven writes from user{i}@mail.example.com today " + prose(i + 50, 30) for i in range(20)] + [prose(200 + i, 80) for i in range(40)]
+        d = frame(spark, texts)
+        rows = {r.doc_id: r for r in pii.report(d).collect()}
+        for i in range(20):
+            base = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in self.brute(texts[i]))
+            assert rows[i].n_email == 1 and rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+            at = texts[i].index("Quillhaven")
+            assert f"term:{at}:{at + 10}" in rows[i].spans and base in rows[i].spans
+        assert all(rows[i].spans == "" for i in range(20, 60))
+        clean = {r.doc_id: r for r in pii.sanitise(d).collect()}
+        assert "Quillhaven" not in clean[3].text and "[EMAIL]" in clean[3].text and clean[3].n_chars == len(clean[3].text)
+        assert clean[30].text == texts[30]
+        assert pii.report(docs).count() == docs.count() and pii.report(none).count() == 0
+        assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == docs.count()
+
+
+class TestSuffixDedup:
+    def brute(self, rows, n):
+        seen, out = set(), {}
+        for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+            b, cov = (t or "").encode(), bytearray(len((t or "").encode()))
+            for i in range(len(b) - n + 1):
+                if b[i : i + n] in seen:
+                    cov[i : i + n] = b"\1" * n
+                else:
+                    seen.add(b[i : i + n])
+            kept = bytes(c for c, m in zip(b, cov) if not m)
+            out[d] = (len(b), sum(cov), len(re.findall(b"\1+", bytes(cov))), hashlib.sha256(kept).hexdigest())
+        return out
+
+    def check(self, df, n=100, **options):
+        rows = list({(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()})
+        want = self.brute(rows, n)
+        got = suffix_dedup.removed(df, n, **options).collect()
+        assert len(got) == df.count()
+        for r in got:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+    def test_corpus(self, docs, none):
+        self.check(docs)
+        assert suffix_dedup.removed(none).count() == 0
+
+    def test_repetitive(self, spark):
+        r = random.Random(6)
+        parts = ["".join(r.choice("ab \n") for _ in range(r.randint(30, 260))) for _ in range(25)] + ["ab" * 130, "a" * 300, "é" * 90]
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(60)]
+        self.check(frame(spark, texts, 10))
+        self.check(frame(spark, texts, 10), block=500)  # many small blocks
+
+
+def test_null_and_clashing_columns_survive(docs):
+    assert {"h", "o", "t", "key"} <= set(docs.columns) and docs.where("doc_id is null").count() == 1
+    assert os.path.exists(MODEL)
