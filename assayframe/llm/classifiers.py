@@ -126,7 +126,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> Pos
     web = bounded(docs.where("doc_id is not null").where(~held_out()).select("doc_id").distinct(), 2 * sample).select("doc_id", F.lit(0).alias("kind"))
     picked = good.unionByName(web).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
     rows = shapes(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(picked), "doc_id").collect()
-    x = np.array([r.x for r in rows], float).reshape(len(rows), -1)
+    if not rows:
+        return prior
+    x = np.array([r.x for r in rows], float)
     kinds = [set(r.kinds) for r in rows]
     pos, web = np.array([1 in k for k in kinds], bool), np.array([0 in k for k in kinds], bool)
     return PositiveUnlabelled(x[pos], x[web], prior) if pos.any() and web.any() else prior
