@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters and words of printed reports.
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　 µ"
@@ -27,7 +28,7 @@ SEP = r"[~\-–—到至]"
 OP = r"(<=|>=|≦|≧|≤|≥|<|>)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, private-use glyphs to spaces, runs of blanks to one (no built-in does NFKC)."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)).str.replace("[-]", " ", regex=True).str.replace(r"[ \t\r\f\v]+", " ", regex=True).str.strip()

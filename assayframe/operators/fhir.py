@@ -7,6 +7,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -20,7 +21,7 @@ MASS = ("mg/dl", "g/dl", "ng/ml", "pg/ml", "ug/dl", "ng/dl", "g/l")
 AMOUNT = ("mmol/l", "umol/l", "meq/l", "pmol/l")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stable_uuid(s: pd.Series) -> pd.Series:
     """Name-based UUID (no built-in makes one)."""
     return s.map(lambda x: None if x is None else "urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
