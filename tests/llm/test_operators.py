@@ -355,14 +355,14 @@ class TestPii:
     def test_terms_that_reveal(self, spark, docs, none):
         texts = [prose(i, 20) + f" Quillhaven writes from user{i}@mail.example.com today " + prose(i + 50, 30) for i in range(20)] + [prose(200 + i, 80) for i in range(40)]
         d = frame(spark, texts)
-        rows = {r.doc_id: r for r in pii.report(d).collect()}
+        rows = {r.doc_id: r for r in pii.report(d, bits=3.0).collect()}
         for i in range(20):
             base = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in self.brute(texts[i]))
             assert rows[i].n_email == 1 and rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
             at = texts[i].index("Quillhaven")
             assert f"term:{at}:{at + 10}" in rows[i].spans and base in rows[i].spans
         assert all(rows[i].spans == "" for i in range(20, 60))
-        clean = {r.doc_id: r for r in pii.sanitise(d).collect()}
+        clean = {r.doc_id: r for r in pii.sanitise(d, bits=3.0).collect()}
         assert "Quillhaven" not in clean[3].text and "[EMAIL]" in clean[3].text and clean[3].n_chars == len(clean[3].text)
         assert clean[30].text == texts[30]
         assert pii.report(docs).count() == docs.count() and pii.report(none).count() == 0
