@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -39,6 +40,17 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, WIDE, NARROW), "[ \t\r\f]+", " "))
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def made_once(key: str, build):
+    """What ``build`` gives, kept per JVM: long expressions over fixed column names cost thousands of calls to build."""
+    at = id(SparkContext._gateway), key
+    if at not in _MADE:
+        _MADE[at] = build()
+    return _MADE[at]
+
+
 def let(c: Column, f) -> Column:
     """``f`` of ``c`` with ``c`` evaluated once, however often ``f`` names it: keeps expressions small."""
     return F.get(F.transform(F.array(c), f), F.lit(0))

@@ -66,7 +66,9 @@ def is_abnormal(d: Column) -> Column:
 
 def parsed(records: DataFrame, value: str = "value_text", ref: str = "ref_text") -> DataFrame:
     """``records`` with ``v`` and ``r``: the printed value and range as structs."""
-    return records.withColumn("v", T.value(F.col(value))).withColumn("r", T.reference(F.col(ref)))
+    v = T.made_once(f"value {value}", lambda: T.value(F.col(value)))
+    r = T.made_once(f"reference {ref}", lambda: T.reference(F.col(ref)))
+    return records.withColumns({"v": v, "r": r})
 
 
 def classify(records: DataFrame) -> DataFrame:
@@ -80,27 +82,39 @@ def classify(records: DataFrame) -> DataFrame:
     x = records.join(F.broadcast(items), "item", "left").join(F.broadcast(known), "item", "left")
     x = x.withColumn("unit", F.coalesce(F.nullif(F.col("unit"), F.lit("")), F.nullif(F.col("v.unit"), F.lit("")), F.col("r.m.unit")))
     x = catalog.unit_factor(x)
+    for step in T.made_once("classify", _judgements):
+        x = x.withColumns(step)
+    return x.drop("kb_m", "kb_f", "item_unit", "by_sex", "expect_negative", "protective")
+
+
+def _judgements() -> list[dict[str, Column]]:
+    """The columns that classify adds, in steps that build on each other."""
     v, r, sex = F.col("v"), F.col("r"), F.col("sex")
     quality = v["kind"].isin("pos", "neg", "trace")
     numeric_kb = F.coalesce(F.col("kb_m.kind").isin("range", "upper", "lower"), F.lit(False))
     usable = (r["kind"] != "none") & ((r["kind"] != "unit_only") | quality)
+    # a bare "negative" beside a number is the lab's reading of it, not a limit, where the item has limits
     usable = usable & ~((r["kind"] == "qual_neg") & (v["kind"] == "num") & numeric_kb)
     report = F.when(usable, by_sex(v, r["m"], r["f"], sex, cut=r["qual_neg"]))
     factor = F.when(v["kind"].isin("num", "pos"), F.col("factor")).otherwise(1.0)
     ranged = by_sex(v, F.col("kb_m"), F.col("kb_f"), sex, factor)
     expected = F.when(v["kind"] == "pos", "positive").otherwise("negative")
     kb = F.when(quality & F.col("expect_negative"), expected).when((F.col("kb_m.kind") == "qual_neg") & ~quality, None).when(factor.isNotNull(), ranged)
-    x = x.withColumn("report_status", report).withColumn("kb_status", kb)
     flag = F.when((v["kind"] == "num") & v["flag"].isin("H", "L"), F.when(v["flag"] == "H", "high").otherwise("low"))
     mild = lambda s: F.when(F.coalesce(F.col("protective"), F.lit(False)) & s.isin("high", "positive"), "normal").otherwise(s)
-    x = x.withColumn("status", mild(F.coalesce("report_status", "kb_status", flag, F.lit("unknown")))).withColumn("kb_status", mild(F.col("kb_status")))
     source = F.when(F.col("report_status").isNotNull(), "report").when(F.col("kb_status").isNotNull(), "reference").when(flag.isNotNull(), "report_flag")
     both = F.col("report_status").isNotNull() & F.col("kb_status").isNotNull()
-    x = x.withColumn("direction", direction(F.col("status"))).withColumn("range_source", source)
-    x = x.withColumn("range_conflict", both & (direction(F.col("report_status")) != direction(F.col("kb_status"))))
-    x = x.withColumn("unit_ok", F.col("factor").isNotNull())
     split = F.when(F.col("report_status").isNotNull(), r["kind"] == "sex").otherwise(F.coalesce("by_sex", F.lit(False)))
-    return x.withColumn("sex_unknown", sex.isNull() & split).drop("kb_m", "kb_f", "item_unit", "by_sex", "expect_negative", "protective")
+    return [
+        {"report_status": report, "kb_status": kb},
+        {"status": mild(F.coalesce("report_status", "kb_status", flag, F.lit("unknown"))), "kb_status": mild(F.col("kb_status")), "range_source": source},
+        {
+            "direction": direction(F.col("status")),
+            "range_conflict": both & (direction(F.col("report_status")) != direction(F.col("kb_status"))),
+            "unit_ok": F.col("factor").isNotNull(),
+            "sex_unknown": sex.isNull() & split,
+        },
+    ]
 
 
 def signature(v: Column) -> Column:
