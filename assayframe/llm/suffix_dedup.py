@@ -160,11 +160,12 @@ class RunIndex:
     def repeats(self, place: np.ndarray) -> np.ndarray:
         """Text positions whose string of ``length`` bytes lies in one text and starts at an earlier place.
 
-        Rows of one string are neighbours; the earliest place among a class's runs is the minimum that
-        each of its rows is held against.
+        Rows of one string are neighbours and make up whole runs. Each run gives its earliest place, and
+        the earliest of a class's runs is what its rows are held against.
         """
         classes = np.flatnonzero(self.new)
-        first = np.minimum.reduceat(place[self.order], classes)
+        earliest = np.minimum.reduceat(place[self.order], self.starts)
+        first = np.minimum.reduceat(earliest, np.searchsorted(self.starts, classes))
         late = place[self.order] > np.repeat(first, np.diff(np.append(classes, self.n)))
         at = np.sort(self.order[late])
         end = self.ends[np.searchsorted(self.ends, at)]
