@@ -200,9 +200,47 @@ def _block(rows: list[tuple], length: int) -> dict[str, list]:
     return out
 
 
-def marks(docs: DataFrame, length: int = 100, bits: int = 25, block: int = 4 << 20) -> DataFrame:
+def _copies(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of equal surroundings, in order of place: the first keeps its anchor ``h``, the others have none and go whole."""
+
+    def run(batches):
+        before = None
+        for batch in batches:
+            h, x, o, p, e = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "x", "o", "p", "e"))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
+            of = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))  # where the row's group begins
+            first_o, first_p = o[of], p[of]
+            if before is not None and (h[0], x[0]) == before[:2]:
+                new[0] = False
+                first_o[of == 0], first_p[of == 0] = before[2:]
+            before = h[-1], x[-1], first_o[-1], first_p[-1]
+            start = np.maximum(p - (length - GRAM), 0)
+            # shorter surroundings hold no string; a repeated row is its first again
+            keep = (p + e - start >= length) & (new | (o != first_o) | (p != first_p))
+            cols = pa.array(h, pa.int64(), mask=~new), pa.array(o), pa.array(p), pa.array(start), pa.array(p + e)
+            yield pa.RecordBatch.from_arrays(list(cols), names=["h", "o", "p", "a", "b"]).filter(pa.array(keep))
+
+    sorted_ = rows.repartition("h", "x").sortWithinPartitions("h", "x", "o", "p")
+    return sorted_.mapInArrow(run, "h bigint, o bigint, p bigint, a bigint, b bigint")
+
+
+def _sharing(group: list[tuple], half: int) -> list[tuple]:
+    """Rows of one anchor that share it and ``half`` bytes on one side with another row: any longer match needs that."""
+    seen: dict[bytes, int] = {}
+    sides = []
+    for _, a, p, t in group:
+        at = p - a
+        own = [b"r" + t[at : at + GRAM + half]] + ([b"l" + t[at - half : at + GRAM]] if at >= half else [])
+        sides.append(own)
+        for s in own:
+            seen[s] = seen.get(s, 0) + 1
+    return [r for r, own in zip(group, sides) if any(seen[s] > 1 for s in own)]
+
+
+def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 4 << 20) -> DataFrame:
     """``(o, a, b)``: byte ranges to remove in document ``o``; they may overlap. ``docs`` is ``(o, t)``."""
-    reach = length - GRAM
+    spark, reach = docs.sparkSession, length - GRAM
 
     def hashes(o, t):
         h, n = np.unique(anchors(t, length)[1], return_counts=True)
@@ -210,7 +248,8 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 25, block: int = 4 <<
 
     counted = _over(docs, hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     seen = Bitmap(counted, "h", bits)
-    common.release(docs.sparkSession)
+    del counted
+    common.release(spark)
 
     def surroundings(o, t):
         at, h = anchors(t, length)
@@ -219,62 +258,60 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 25, block: int = 4 <<
         x, name = np.empty(len(at), np.uint64), xxhash.xxh3_64_intdigest
         for i, p in enumerate(at.tolist()):
             x[i] = name(t[max(0, p - reach) : p + length], min(p, reach))
-        a, b = np.maximum(at - reach, 0), np.minimum(at + length, len(t))
-        return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), at, a, b
-
-    repeated = common.store(_over(docs, surroundings, "h bigint, x bigint, o bigint, p bigint, a bigint, b bigint"), "anchors")
-    first = repeated.groupBy("h", "x").agg(F.min(F.struct("o", "p")).alias("f"), F.count("*").alias("n"))
-    first = common.store(first.select("h", "x", "f.o", "f.p", "n"), "first")
-    copies = repeated.join(first.where("n > 1").select("h", "x", F.col("o").alias("fo"), F.col("p").alias("fp")), ["h", "x"])
-    copies = copies.where(f"(o <> fo or p <> fp) and b - a >= {length}").select("o", "a", "b")
-    several = first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    need = first.join(several, "h", "left_semi").select("h", "o", "p")
-
-    wanted = Bitmap(_placed(need), "y", bits + 1)
-    gone = common.store(copies, "copies")  # after this, neither table is read again
-    common.drop(repeated)
-    common.drop(first)
-    del copies, need, several, first, repeated
-    common.release(docs.sparkSession)
+        return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), at, np.minimum(at + length, len(t)) - at
+
+    near = _copies(_over(docs, surroundings, "h bigint, x bigint, o bigint, p bigint, e bigint"), length)
+    found = common.store(near, "anchors")
+    common.release(spark)
+    first = found.where("h is not null")
+    several = Bitmap(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h", bits)
+    wanted = Bitmap(_placed(first.select("h", "o", "p"), several), "y", bits)
+    common.release(spark)
 
     def texts(o, t):
         at, h = anchors(t, length)
-        keep = seen.has(h)
+        keep = several.has(h)
         at, h = at[keep], h[keep]
-        keep = wanted.has(_place(h, np.full(len(at), o, np.int64).view(np.uint64), at)) & (np.minimum(at + length, len(t)) - np.maximum(at - reach, 0) >= length)
+        keep = wanted.has(_place(h, np.full(len(at), o, np.int64).view(np.uint64), at))
         at, h = at[keep], h[keep]
         a = np.maximum(at - reach, 0)
-        return h.view(np.int64), np.full(len(at), o, np.int64), a, [t[i : p + length] for i, p in zip(a.tolist(), at.tolist())]
+        return h.view(np.int64), np.full(len(at), o, np.int64), a, at, [t[i : p + length] for i, p in zip(a.tolist(), at.tolist())]
 
-    meet = _over(docs, texts, "h bigint, o bigint, a bigint, t binary")
-    meet = meet.repartition("h").sortWithinPartitions("h", "o", "a")
+    meet = _over(docs, texts, "h bigint, o bigint, a bigint, p bigint, t binary")
+    meet = meet.repartition("h").sortWithinPartitions("h", "o", "p")
 
     def walk(batches):
-        rows, size, group, mark = [], 0, None, 0
+        rows, size, anchor, group = [], 0, None, []
+
+        def taken():
+            """The group's rows that can match join the block."""
+            more = _sharing(group, reach - reach // 2) if len(group) > 1 else []
+            rows.extend((o, a, t) for o, a, _, t in more)
+            return sum(len(r[3]) + 1 for r in more)
+
         for batch in batches:
-            for h, o, a, t in zip(*(batch.column(n).to_pylist() for n in ("h", "o", "a", "t"))):
-                if h != group:
-                    if len(rows) - mark < 2:  # an anchor alone has nothing to meet
-                        size -= sum(len(r[2]) + 1 for r in rows[mark:])
-                        del rows[mark:]
+            for h, *row in zip(*(batch.column(n).to_pylist() for n in ("h", "o", "a", "p", "t"))):
+                if h != anchor:
+                    size += taken()
+                    anchor, group = h, []
                     if size > block:
                         yield pa.RecordBatch.from_pydict(_block(rows, length), schema=kinds)
                         rows, size = [], 0
-                    group, mark = h, len(rows)
-                rows.append((o, a, t))
-                size += len(t) + 1
+                group.append(tuple(row))
+        taken()
         if len(rows) > 1:
             yield pa.RecordBatch.from_pydict(_block(rows, length), schema=kinds)
 
     kinds = pa.schema([("o", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    return gone.unionByName(meet.mapInArrow(walk, "o bigint, a bigint, b bigint"))
+    return found.where("h is null").select("o", "a", "b").unionByName(meet.mapInArrow(walk, "o bigint, a bigint, b bigint"))
 
 
-def _placed(need: DataFrame) -> DataFrame:
+def _placed(need: DataFrame, several: Bitmap) -> DataFrame:
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(several.has(np.array(batch.column("h").to_numpy(zero_copy_only=False)).view(np.uint64))))
             h, o, p = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "o", "p"))
-            x = _place(h.view(np.uint64), o.view(np.uint64), p)
+            x = _place(np.array(h).view(np.uint64), np.array(o).view(np.uint64), np.array(p))
             yield pa.RecordBatch.from_pydict({"y": pa.array(x.view(np.int64))})
 
     return need.mapInArrow(run, "y bigint")
