@@ -1,16 +1,22 @@
 """Language-model scores by a weighted backoff automaton.
 
-Training counts cover all training documents. The model's size is bounded by proof, not by a cap: at
-most ``size`` n-grams of an order can each hold 1/size of all tokens, so the words, pairs and triples
-with at least that share (and two occurrences) are the automaton's, and they alone are broadcast.
-A pair can be that frequent only if both words are, a triple only if both pairs are, so each order
-counts no more than it has to.
-
-A state is an n-gram context, an arc a word with its probability, and each state has one failure
-arc, to its longest proper suffix, weighted with the mass that absolute discounting left over. One
-left-to-right walk over a text carries the state and adds up log10 probabilities. At the root a word
-has its add-one probability (c + 1) / (N + V + 1) with its exact count; for words below the
-bound that count comes by a join on the word's 64-bit hash.
+Training counts cover all training documents, and every word, pair and triple that occurs at least
+``least`` times there (words: once) is the model's, so the model grows with the input. A state is an
+n-gram context, an arc a word with its probability, and each state has one failure arc, to its
+longest proper suffix, weighted with the mass that absolute discounting left over. At the root a word
+has its add-one probability (c + 1) / (N + V + 1).
+
+States and arcs are a table, not an object in memory. Which state a walk is in follows from the last
+two words, so its sum of log10 probabilities is a sum over the text's n-grams, each with one value:
+
+- word: its probability at the root, and the failure weight of the state it is;
+- pair: its arc less that failure path, and the failure weight of the state it is;
+- triple: its arc less that failure path.
+
+N-grams that the model lacks add nothing. So texts' n-grams are joined to ``(key, v, base)`` by a 64-bit key
+and summed. N-grams that hold 1/``size`` of all tokens, of which there can be only ``size`` of an order,
+are broadcast as a cache, and a bitmap of fixed size spares the join n-grams that are not the
+model's; neither changes a result. :class:`Automaton` is the same model of a small corpus in one process.
 
 A null text counts as empty: its only token is the end. A null doc_id counts as training. Each
 input row has one output row, repeated rows too; further columns are ignored; with no training rows
@@ -20,6 +26,7 @@ N and V are zero and every token has probability one.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +38,11 @@ from pyspark.sql import functions as F
 from . import common
 from .classifiers import held_out
 from .simhash import LOWER
+from .suffix_dedup import Bitmap
 
 END = b"\n"  # no word holds a line break
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+_CHUNK = 1 << 22
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -184,46 +194,166 @@ def fit(docs: DataFrame, size: int = 200_000) -> tuple[Automaton, DataFrame]:
     return Automaton(words, counts, pairs, triples, int(total), int(distinct), starts), uni.select(F.xxhash64("token").alias("h"), "c")
 
 
-def score(docs: DataFrame, size: int = 200_000) -> DataFrame:
+class _Hashes(dict):
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[w] = xxhash.xxh64_intdigest(w, 42)
+        return got
+
+
+def _long(x: np.ndarray, seed) -> np.ndarray:
+    h = x * _P[1]
+    h = seed + _P[4] + np.uint64(8) ^ (h << np.uint64(31) | h >> np.uint64(33)) * _P[0]
+    h = (h << np.uint64(27) | h >> np.uint64(37)) * _P[0] + _P[3]
+    h = (h ^ h >> np.uint64(33)) * _P[1]
+    h = (h ^ h >> np.uint64(29)) * _P[2]
+    return h ^ h >> np.uint64(32)
+
+
+def _key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``F.xxhash64(x, y)`` of two longs."""
+    return _long(y, _long(x, np.uint64(42)))
+
+
+def _chunks(texts: list):
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or b"")
+        if size > _CHUNK:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _grams(texts: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts' words, each text after a mark of its beginning: text, place in it, hash, key of the pair that ends there."""
+    lists = [[END, *tokens(t)] for t in texts]
+    size = np.array([len(x) for x in lists])
+    a = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, size.sum())
+    row = np.repeat(np.arange(len(lists)), size)
+    place = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+    pair = np.zeros(len(a), np.uint64)
+    pair[1:] = _key(a[:-1], a[1:])
+    return row, place, a, pair
+
+
+def _tally(docs: DataFrame, f) -> DataFrame:
+    """``(o, x, y, n)``: how often the n-gram of order ``o`` with parts ``x, y`` occurs; ``f`` gives orders, keys and parts."""
+
+    def run(batches):
+        hashes = _Hashes()
+        for batch in batches:
+            for texts in _chunks(batch.column("__text").to_pylist()):
+                for o, key, x, y in f(*_grams(texts, hashes)[1:]):
+                    _, at, n = np.unique(key, return_index=True, return_counts=True)
+                    cols = [np.full(len(at), o, np.int32), x[at].view(np.int64), y[at].view(np.int64), n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["o", "x", "y", "n"])
+
+    counted = docs.select(F.col("text").cast("binary").alias("__text")).mapInArrow(run, "o int, x bigint, y bigint, n bigint")
+    return counted.groupBy("o", "x", "y").agg(F.sum("n").alias("n"))
+
+
+def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[DataFrame, int, float]:
+    """States and arcs of the whole model as ``(key, v, base, n)``, all tokens, and the root's norm; ``base`` only of words."""
+    train = docs.where(~held_out(7, 2))
+
+    def low(place, a, pair):
+        at = np.flatnonzero(place > 0)
+        return (1, a[at], a[at], a[at]), (2, pair[at], a[at - 1], a[at])
+
+    counted = common.store(_tally(train, low).where((F.col("o") == 1) | (F.col("n") >= least)), "counts")
+    common.release(docs.sparkSession)
+    words = counted.where("o = 1").select(F.col("x").alias("h"), F.col("n").alias("c"))
+    pairs = counted.where("o = 2").select(F.xxhash64("x", "y").alias("key"), "x", "y", "n")
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    norm = float(np.log10(total + distinct + 1))
+    seen = Bitmap(pairs, "key", 27)
+
+    def high(place, a, pair):
+        has = seen.has(pair)
+        at = np.flatnonzero(place > 1)
+        at = at[has[at] & has[at - 1]]
+        return ((3, _key(pair[at - 1], pair[at]), pair[at - 1], pair[at]),)
+
+    triples = common.store(_tally(train, high).where(F.col("n") >= least).drop("o"), "triples")
+    common.release(docs.sparkSession)
+    left = lambda given, of: F.greatest(1 - F.coalesce(given, F.lit(0.0)) / F.col(of), F.lit(1e-12))
+    given = pairs.groupBy(F.col("x").alias("h")).agg(F.sum(F.col("n") - discount).alias("m"))
+    words = words.join(given, "h", "left").select("h", "c", (F.log10(F.col("c") + 1.0)).alias("base"), left("m", "c").alias("fail"))
+    words = common.store(words, "states")
+    context = words.select(F.col("h").alias("x"), "c", "fail")
+    word = words.select(F.col("h").alias("y"), F.pow(F.lit(10.0), F.col("base") - norm).alias("p1"))
+    given = triples.groupBy(F.col("x").alias("key")).agg(F.sum(F.col("n") - discount).alias("m"))
+    arcs = pairs.join(context, "x").join(word, "y").withColumn("p", (F.col("n") - discount) / F.col("c") + F.col("fail") * F.col("p1"))
+    arcs = arcs.select("key", "n", "p", (F.log10("p") - F.log10("p1") - F.log10("fail")).alias("v")).join(given, "key", "left")
+    arcs = common.store(arcs.select("key", "n", "p", "v", left("m", "n").alias("fail")), "states")
+    g = arcs.select(F.col("key").alias("x"), F.col("n").alias("c"), "fail")
+    lower = arcs.select(F.col("key").alias("y"), F.col("p").alias("p1"))
+    more = triples.join(g, "x").join(lower, "y").withColumn("p", (F.col("n") - discount) / F.col("c") + F.col("fail") * F.col("p1"))
+    more = more.select(F.xxhash64("x", "y").alias("key"), (F.log10("p") - F.log10("p1") - F.log10("fail")).alias("v"), "n")
+    none = F.lit(None).cast("double").alias("base")
+    whole = words.select(F.col("h").alias("key"), (F.col("base") + F.log10("fail")).alias("v"), "base", F.col("c").alias("n"))
+    whole = whole.unionByName(arcs.select("key", (F.col("v") + F.log10("fail")).alias("v"), none, "n")).unionByName(more.select("key", "v", none, "n"))
+    whole = common.store(whole, "arcs")
+    for x in (counted, triples, words, arcs):
+        common.drop(x)
+    common.release(docs.sparkSession)
+    return whole, int(total), norm
+
+
+def score(docs: DataFrame, size: int = 200_000, least: int = 2) -> DataFrame:
     """The contract's columns, one row per input row."""
-    model, uni = fit(docs, size)
-    total = int(model.args[4])
-    norm = model.norm
-    log1 = np.log10(np.array(model.counts, float) + 1).tolist()
-    schema = "row bigint, doc_id bigint, n_tokens bigint, n_rare bigint, base double, walked double, rare array<bigint>, times array<int>"
+    model, total, norm = table(docs, least)
+    often = max(1, -(-total // size))
+    cache = model.where(F.col("n") >= often).select("key", "v", "base").toArrow()
+    key = cache.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    key, v, base = key[order], cache.column("v").to_numpy()[order], cache.column("base").to_numpy()[order].astype(float)
+    model = model.where(F.col("n") < often)
+    seen = Bitmap(model, "key", 27)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64()), ("rest", pa.list_(pa.int64()))])
 
     def run(batches):
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        at_row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        hashes = _Hashes()
         for batch in batches:
-            out: dict[str, list] = {x.split(" ")[0]: [] for x in schema.split(", ")}
-            for t in batch.column("__text").to_pylist():
-                words = tokens(t)
-                walked, rare = model.walk(words)
-                times = Counter(rare)
-                get = model.id.get
-                out["row"].append(row)
-                out["n_tokens"].append(len(words))
-                out["n_rare"].append(len(rare))
-                out["base"].append(sum(log1[i] for i in map(get, words) if i is not None) - len(words) * norm)
-                out["walked"].append(walked)
-                out["rare"].append(np.array([xxhash.xxh64_intdigest(w, 42) for w in times], np.uint64).view(np.int64))
-                out["times"].append(list(times.values()))
-                row += 1
-            out["doc_id"] = batch.column("doc_id")
-            kinds = {"bigint": pa.int64(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-            fields = pa.schema([(a, kinds[b]) for a, b in (x.split(" ") for x in schema.split(", "))])
-            yield pa.RecordBatch.from_pydict(out, schema=fields)
-
-    scored = docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
+            ids, done = batch.column("doc_id"), 0
+            for texts in _chunks(batch.column("__text").to_pylist()):
+                row, place, a, pair = _grams(texts, hashes)
+                one, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+                keys = np.concatenate([a[one], pair[one], _key(pair[three - 1], pair[three])])
+                rows, n = np.concatenate([row[one], row[one], row[three]]), len(texts)
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+                    hit = key[at] == keys
+                else:
+                    at, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+                in_row, found = rows[hit], at[hit]
+                known = ~np.isnan(base[found])
+                rest = np.flatnonzero(~hit & seen.has(keys))
+                rest = rest[np.argsort(rows[rest], kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows[rest], minlength=n))])
+                cols = [
+                    np.arange(at_row, at_row + n), ids.slice(done, n), np.bincount(row[one], minlength=n), np.bincount(in_row[known], minlength=n),
+                    np.bincount(in_row[known], base[found][known], n), np.bincount(in_row, v[found], n),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[rest].view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                at_row += n
+                done += n
+
+    scored = docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, v double, rest array<bigint>")
     scored = common.store(scored, "walked")
-    words = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("t"))
-    found = words.join(uni, "h").select("row", "t", "c")
-    sums = found.groupBy("row").agg(F.sum(F.col("t") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("t").alias("known"))
-    whole = scored.drop("rare", "times").join(sums, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
+    found = scored.select("row", F.explode("rest").alias("key")).join(model.select("key", "v", "base"), "key")
+    sums = found.groupBy("row").agg(F.sum("v").alias("more"), F.sum("base").alias("more_base"), F.count("base").alias("more_known"))
+    whole = scored.drop("rest").join(sums, "row", "left")
+    less = F.col("n_tokens") * norm
     return whole.select(
         "doc_id", held_out(7, 2).alias("held_out"), "n_tokens",
-        (F.col("n_tokens") - F.col("n_rare") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("walked") + more).alias("score"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - less).alias("base_score"), (F.col("v") + F.coalesce("more", F.lit(0.0)) - less).alias("score"),
     )

@@ -327,6 +327,19 @@ class TestLanguageModel:
             norm = 10**model.norm
             assert abs(total - (norm - 1) / norm) < 0.02  # the rest is kept for words never seen
 
+    def test_the_model_is_whole_whatever_the_cache_holds(self, spark):
+        texts = [" ".join(random.Random(i).choices([f"w{j}" for j in range(30)], range(1, 31), k=50)) for i in range(60)] + ["", None, "w1", "never seen w2 w3"]
+        df = frame(spark, texts)
+        model, _ = backoff_lm.fit(df, size=10**9)  # two occurrences are enough: a walk over every state and arc
+        assert backoff_lm.fit(df, size=20)[0].args[2] != model.args[2]
+        for size in (20, 200_000):
+            for r in backoff_lm.score(df, size=size).collect():
+                w = backoff_lm.tokens((texts[r.doc_id] or "").encode())
+                train = dict(zip(model.args[0], model.args[1]))
+                rare = [x for x in w if x not in model.id]
+                once = sum(math.log10(2) for x in rare if r.n_known and not r.held_out)
+                assert train and abs(model.walk(w)[0] + once - r.score) < 1e-6, (size, r)
+
 
 class TestPii:
     PATTERNS = {
