@@ -60,6 +60,17 @@ def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return common.map_text(docs, ["doc_id"], run, "doc_id bigint, fp bigint")
 
 
+def with_keys(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``(doc_id, key, fp)``: the fingerprints with the text's XXH64, which tells rows of one doc_id apart."""
+
+    def run(cols: dict, texts: list) -> dict:
+        fps = np.array([fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
+        keys = np.array([xxhash.xxh64_intdigest(x or b"", 42) for x in texts], np.uint64).view(np.int64)
+        return {"doc_id": cols["doc_id"], "key": keys.tolist(), "fp": fps.tolist()}
+
+    return common.map_text(docs, ["doc_id"], run, "doc_id bigint, key bigint, fp bigint")
+
+
 def _masks(bits: int, blocks: int, distance: int) -> list[int]:
     """Masks over the bits set in ``bits``, one for every choice of blocks - distance of its parts."""
     at = [i for i in range(64) if bits >> i & 1]
@@ -155,10 +166,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, blocks:
     return fps.join(named, "fp").select("doc_id", hexed, "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that name their group: one document of each group stays."""
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of each group of ``grouped(doc_id, key, root)``: of the smallest doc_id, null last, and then the smallest key.
+
+    A row is known by doc_id and its text's hash ``key``; rows that share both are one document.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = grouped.groupBy("root").agg(F.min(order).alias("x"), F.count("*").alias("n")).select("x.doc_id", "x.key", "n")
+    first = common.store(first, "first")
+    key = F.xxhash64(F.coalesce(docs.text, F.lit("")))
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id) & (key == first.key), "left_semi")
+    big = first.where("n > 1").select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
+    same = grouped.join(big, grouped.doc_id.eqNullSafe(big.d) & (grouped.key == big.k), "left_semi")
+    if same.groupBy("doc_id", "key").count().where("count > 1").limit(1).isEmpty():
+        return kept
+    kept = kept.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+
+
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 3, blocks: int = 6, limit: int = 4096) -> DataFrame:
+    """One row of each group of near-duplicates stays, whatever doc_ids are null or repeat."""
+    fps = common.store(with_keys(docs, words), "simhash")
+    roots = common.components(links(fps.select("fp").distinct(), distance, blocks, limit))
+    return keep_first(docs, fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "key", F.coalesce("root", "fp").alias("root")))

@@ -118,6 +118,13 @@ class TestSimhash:
         assert len(kept) == len(set(kept)) and 30 not in kept and 0 in kept
         assert simhash.near_duplicates(none).count() == 0
 
+    def test_keep_one_of_null_and_repeated_ids(self, spark):
+        texts = [prose(400 + i, 80) for i in range(6)]
+        rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[4]), (None, texts[4]), (7, texts[5])]
+        df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+        got = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(df).collect())
+        assert got == collections.Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4]), (7, texts[5])])
+
 
 class TestQualityRules:
     def brute(self, t):
