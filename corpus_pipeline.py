@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayframe.llm import classifiers, common, decontaminate, pieces, pii, simhash
+from assayframe.llm import classifiers, common, decontaminate, near_copies, pieces, pii
 from assayframe.llm.queries import MODEL
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-copies, by 5-word shingles of similarity 0.8, stays."""
+    return near_copies.keep_one(docs, share=0.8, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

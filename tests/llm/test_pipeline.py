@@ -35,3 +35,23 @@ def test_run(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_dedup_finds_every_pair_of_similarity(spark):
+    texts, r = [], random.Random(9)
+    for i in range(60):
+        w = prose(1000 + i, 200).split()
+        texts.append(" ".join(w))
+        for at in r.sample(range(10, 190, 12), 1 + i % 8):
+            w[at] = f"other{at}"
+        texts.append(" ".join(w))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, prose(2000, 60), "en", "s", 1), (None, prose(2001, 60), "en", "s", 1)]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    for i in range(0, 120, 2):
+        a, b = shingles(texts[i]), shingles(texts[i + 1])
+        assert i in kept and (i + 1 in kept) == (len(a & b) < 0.8 * len(a | b)), i
