@@ -4,8 +4,10 @@ Base spans (e-mail, ip, card, phone) are found in every whole text. Terms that s
 words of a base span are then weighed against the whole corpus: with n(t) all occurrences of a
 term and n(t, near) those near a protected entity, its disclosure is the pointwise mutual
 information log2(P(near | t) / P(near)), where P(near | t) is the lower end of its 95 % Wilson
-interval. Terms that disclose at least ``bits``, seen near entities of ``least`` documents and
-mostly there (``share``), are generalised wherever they stand near an entity.
+interval. No term can disclose more than -log2 P(near), which vanishes as entities grow common, so
+terms pass that disclose ``bits``, or ``part`` of that most if it is less. Of those, terms seen near
+entities of ``least`` documents and mostly there (``share``) are generalised wherever they stand in a
+document that holds an entity.
 
 Counts cover all documents. Only terms that occur near an entity need a corpus count; which ones
 they are goes to the scan as a bitmap of fixed size, whose false hits a join then removes.
@@ -16,6 +18,7 @@ result. Columns of the input besides doc_id and text are kept by :func:`sanitise
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import islice
@@ -127,7 +130,7 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, bits: float = 6.0, share: float = 0.5, least: int = 8) -> DataFrame:
+def disclosing(docs: DataFrame, scanned: DataFrame, bits: float = 6.0, share: float = 0.5, least: int = 8, part: float = 0.5) -> DataFrame:
     """``(term, bits)`` of the terms that reveal protected entities."""
     places = scanned.where(F.size("term") > 0).select("doc_id", F.explode("term").alias("term"))
     near = places.groupBy("doc_id", "term").count().groupBy("term").agg(F.sum("count").alias("near"), F.count("*").alias("docs"))
@@ -156,8 +159,43 @@ def disclosing(docs: DataFrame, scanned: DataFrame, bits: float = 6.0, share: fl
     beside = scanned.agg(F.coalesce(F.sum(F.size("term")), F.lit(1))).first()[0]
     p, z2 = F.col("near") / F.col("n"), 1.96**2
     low = (p + z2 / (2 * F.col("n")) - 1.96 * F.sqrt(p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
-    weighed = near.join(totals, "term").select("term", F.log2(F.greatest(low, F.lit(1e-12)) / F.lit(max(beside, 1) / max(words, 1))).alias("bits"), low.alias("low"))
-    return weighed.where((F.col("bits") >= bits) & (F.col("low") >= share)).select("term", "bits")
+    common_ = min(max(beside, 1) / max(words, 1), 1.0)
+    weighed = near.join(totals, "term").select("term", F.log2(F.greatest(low, F.lit(1e-12)) / F.lit(common_)).alias("bits"), low.alias("low"))
+    return weighed.where((F.col("bits") >= min(bits, part * -math.log2(common_))) & (F.col("low") >= share)).select("term", "bits")
+
+
+def _places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(doc_id, key, term, a, b)``: words outside base spans, of documents that have some, that may be one of ``terms``."""
+    marks, mask = _bitmap(terms), _BITS - 1
+
+    def run(cols: dict, texts: list) -> dict:
+        out: dict[str, list] = {n: [] for n in ("doc_id", "key", "term", "a", "b")}
+        slots: dict[str, bool] = {}
+        for doc_id, t in zip(cols["doc_id"], texts):
+            text = (t or b"").decode("utf-8", "replace")
+            spans = base_spans(text)
+            if not spans:
+                continue
+            key, i, end = int(np.uint64(xxhash.xxh64_intdigest(t, 42)).view(np.int64)), 0, 0
+            for m in _WORD.finditer(text):
+                while i < len(spans) and spans[i][0] < m.end():
+                    end = max(end, spans[i][2])
+                    i += 1
+                if m.start() < end:
+                    continue
+                w = m.group().lower()
+                got = slots.get(w)
+                if got is None:
+                    if len(slots) > 500_000:
+                        slots.clear()
+                    at = xxhash.xxh64_intdigest(w.encode(), 42) & mask
+                    got = slots[w] = bool(marks[at >> 5] >> (at & 31) & 1)
+                if got:
+                    for n, x in zip(out, (doc_id, key, w, m.start(), m.end())):
+                        out[n].append(x)
+        return out
+
+    return common.map_text(docs, ["doc_id"], run, "doc_id bigint, key bigint, term string, a int, b int")
 
 
 def find(docs: DataFrame, window: int = 4, **thresholds) -> DataFrame:
@@ -168,7 +206,7 @@ def find(docs: DataFrame, window: int = 4, **thresholds) -> DataFrame:
     if terms.isEmpty():
         return rows.withColumn("added", F.lit(None).cast("array<int>"))
     where = scanned.where(F.size("term") > 0).select("doc_id", "key", F.explode(F.expr("transform(term, (t, i) -> struct(t as term, get(place, 2 * i) as a, get(place, 2 * i + 1) as b))")).alias("x"))
-    where = where.select("doc_id", "key", "x.term", "x.a", "x.b").join(terms, "term", "left_semi")
+    where = where.select("doc_id", "key", "x.term", "x.a", "x.b").unionByName(_places(docs, terms)).join(terms, "term", "left_semi")
     added = where.groupBy("doc_id", "key").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("a", "b"))), lambda s: F.array(s.a, F.lit(4), s.b))).alias("added"))
     same = rows.doc_id.eqNullSafe(added.doc_id) & (rows.key == added.key)
     return rows.join(added, same, "left").select(rows.doc_id, rows.key, "spans", "added")

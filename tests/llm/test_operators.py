@@ -388,6 +388,17 @@ class TestPii:
         assert pii.report(docs).count() == docs.count() and pii.report(none).count() == 0
         assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == docs.count()
 
+    def test_terms_pass_where_entities_are_common(self, spark):
+        tails = ["Quillhaven" if i == 3 else "" for i in range(30)]
+        texts = [prose(i, 20) + f" Quillhaven writes from user{i}@mail.example.com today " + prose(i + 50, 30) + " " + tails[i] for i in range(30)] + [prose(200 + i, 30) for i in range(10)]
+        texts += [prose(300, 30) + " a@b.example.com"] + [prose(301, 40) + " Quillhaven"]
+        rows = {r.doc_id: r.spans for r in pii.report(frame(spark, texts)).collect()}
+        for i in range(30):
+            at = texts[i].index("Quillhaven")
+            assert f"term:{at}:{at + 10}" in rows[i]
+        assert f"term:{len(texts[3]) - 10}:{len(texts[3])}" in rows[3]  # far from the entity, in its document
+        assert rows[41] == "" and "term" not in rows[40]
+
 
 class TestSuffixDedup:
     def brute(self, rows, n):
