@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from test_operators import DOCS, prose
+from test_llm_operators import DOCS, prose
 
 
 def folder(spark, tmp_path):
