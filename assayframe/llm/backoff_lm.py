@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 from .classifiers import held_out
 from .simhash import LOWER
-from .suffix_dedup import Bitmap
+from .shards import Bitmap
 
 END = b"\n"  # no word holds a line break
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 from .simhash import keep_first
 from .substring_dedup import Cutter, similar
-from .suffix_dedup import Bitmap
+from .shards import Bitmap
 
 
 def groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 3, limit: int = 4096) -> DataFrame:

@@ -4,21 +4,23 @@ A byte goes if some string of ``length`` bytes that covers it also starts earlie
 smaller doc_id, or earlier in the same one. Matches never cross documents and are judged on the
 input, not on what is left.
 
-Equal strings of that length share their anchors, the 32-byte grams of lowest hash in a window, at
-the same place. So anchors route the work, with no pair of documents ever formed:
+Equal strings of that length share their anchors, the grams of lowest hash in a window, at the same
+place. So anchors route the work, with no pair of documents ever formed:
 
-1. Count anchor hashes. Repeated ones go back to the scan as a bitmap of fixed size; what it lets
-   through by mistake costs work, not correctness.
+1. Anchor hashes are counted in shards. Repeated ones go back to the scan as a bitmap of fixed size;
+   what it lets through by mistake costs work, not correctness.
 2. Repeated anchors carry a hash of their surroundings, all bytes that a string around them
    could reach. Every occurrence of the same surroundings but the first goes whole.
 3. The first occurrences of different surroundings around one anchor meet, in blocks of whole
-   anchors. Each block builds its Burrows-Wheeler transform in runs, with text positions sampled at
-   run ends, and streams the matching statistics of its texts over it; matches that reach ``length``
-   and start earlier elsewhere are marked.
-
-Blocks hold surroundings of bounded size, each text once; copies have collapsed before. A null text
-counts as empty, a null doc_id sorts before all others, and rows of equal doc_id and text are one
-document, each returned.
+   anchors. A block is indexed by its Burrows-Wheeler transform in runs (:class:`RunIndex`), and its
+   texts are streamed over that index from their ends: each backward step gives the row of the next
+   string, and the sampled runs of its class tell whether it starts earlier elsewhere.
+4. An anchor with more than ``hot`` different surroundings is not gathered in a task: each of its
+   strings of ``length`` bytes is a key of its own, and keys meet in an aggregate.
+
+A document is a doc_id with its text: rows that share a doc_id but not the text are documents of
+their own, in order of the text's hash; rows equal in both are one document, each returned. A null
+text counts as empty; a null doc_id sorts before all others. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,11 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .shards import Bitmap, runs, slices, tally
 
-GRAM = 32
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
 _NONE = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+_FIRST = -(1 << 63)
+
+
+def gram(length: int) -> int:
+    """Bytes of an anchor: a power of two, so long that chance hardly repeats it."""
+    return 1 << int(np.log2(max(1, 7 * length // 10)))
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -51,47 +59,32 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are lowest in some window of ``length`` bytes."""
     if len(text) < length:
         return _NONE
-    h, step = _BYTE[np.frombuffer(text, np.uint8)], 1
-    for m in _MIX:
+    h, step, size = _BYTE[np.frombuffer(text, np.uint8)], 1, gram(length)
+    for m in _MIX[: size.bit_length() - 1]:
         h, step = h[:-step] * m + h[step:], 2 * step
     h ^= h >> np.uint64(29)
     h *= _MIX[0]
     h ^= h >> np.uint64(32)
-    width = length - GRAM + 1
+    width = length - size + 1
     pad = np.zeros(width - 1, np.uint64)
     low = _slide(h, width, np.minimum)
     at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
     return at, h[at]
 
 
-class Bitmap:
-    """A set of 64-bit hashes, as a bitmap of fixed size; may say yes to some others."""
-
-    def __init__(self, hashes: DataFrame, column: str, bits: int):
-        self.shift, words = np.uint64(64 - bits), np.zeros(1 << (bits - 6), np.uint64)
-        slot = F.shiftrightunsigned(column, 64 - bits)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
-        for r in hashes.select(F.shiftright(slot, 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toLocalIterator():
-            words[r.i] = np.int64(r.b).view(np.uint64)
-        self.words = words
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        slot = h >> self.shift
-        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _place(h: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _place(h: np.ndarray, o: np.ndarray, u: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One hash of an anchor and its place."""
-    x = h ^ (order * _MIX[1] + at.view(np.uint64)) * _MIX[2]
+    x = h ^ ((o * _MIX[1] ^ u) * _MIX[4] + at.view(np.uint64)) * _MIX[2]
     x ^= x >> np.uint64(31)
     x *= _MIX[3]
     return x ^ (x >> np.uint64(29))
 
 
-def _over(docs: DataFrame, f, schema: str) -> DataFrame:
-    """``f(order, text)`` gives columns of one document; rows go out in batches."""
+def _over(docs: DataFrame, f, schema: str, most: int = 8 << 20) -> DataFrame:
+    """``f(document's key columns, text)`` gives columns; rows go out in batches of about ``most`` bytes."""
     names = [x.split(" ")[0] for x in schema.split(", ")]
     kinds = [common._ARROW[x.split(" ")[1]] for x in schema.split(", ")]
+    keys = [c for c in docs.columns if c != "t"]
 
     def out(parts):
         cols = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [y for x in c for y in x] for c in zip(*parts)]
@@ -99,77 +92,102 @@ def _over(docs: DataFrame, f, schema: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            parts, rows = [], 0
-            for o, t in zip(batch.column("o").to_pylist(), batch.column("t").to_pylist()):
-                got = f(o, t or b"")
-                if len(got[0]):
-                    parts.append(got)
-                    rows += len(got[0])
-                if rows > 100_000:
+            for some in slices(batch, "t"):
+                parts, size = [], 0
+                for *key, t in zip(*(some.column(k).to_pylist() for k in keys), some.column("t").to_pylist()):
+                    got = f(*key, t or b"")
+                    if len(got[0]):
+                        parts.append(got)
+                        size += sum(c.nbytes if isinstance(c, np.ndarray) else sum(map(_bytes, c)) for c in got)
+                    if size > most:
+                        yield out(parts)
+                        parts, size = [], 0
+                if parts:
                     yield out(parts)
-                    parts, rows = [], 0
-            if parts:
-                yield out(parts)
 
     return docs.mapInArrow(run, schema)
 
 
+def _bytes(x) -> int:
+    return x.nbytes if isinstance(x, np.ndarray) else len(x)
+
+
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1."""
+    order = np.argsort(key)
+    s = key[order]
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[1], s[1:] != s[:-1]]), dtype=np.int32)
+    return rank
+
+
 class RunIndex:
-    """Run-length compressed Burrows-Wheeler transform of a block of texts, ordered to ``length`` bytes.
+    """Run-length compressed Burrows-Wheeler transform of a block of texts, each with an end mark of its own.
 
-    ``heads`` are the runs' bytes, ``starts`` their first rows, and ``samples`` the text positions at
-    the runs' first and last rows. The suffix order that the construction sorts is kept for the walk.
+    ``heads`` are the runs' bytes, ``starts`` their first rows, ``back`` the rows that a backward step
+    takes those to, and ``samples`` the text positions of the runs' first rows. Runs are cut where the
+    first ``length`` bytes of the rows change (a class of equal strings is whole runs) and at
+    each class's earliest row, so the samples hold the earliest position of every class. Of the
+    suffix order that the construction sorts nothing else is kept. ``place`` orders text positions.
     """
 
-    def __init__(self, texts: list[bytes], length: int):
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.ends = np.cumsum(sizes + 1) - 1
-        t = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-        t[self.ends] = 0
+    def __init__(self, texts: list[bytes], place: np.ndarray, length: int):
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(self.sizes + 1) - 1
+        t = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
+        t[ends] = 0
         n = len(t)
-        self.n, self.length = n, length
-        padded = np.concatenate([t, np.zeros(length + 8, np.int64)])
+        end = np.repeat(ends, self.sizes + 1).astype(np.int32)
+        here = np.arange(n, dtype=np.int32)
+
+        def after(x: np.ndarray, k: int) -> np.ndarray:
+            """``x`` at ``k`` positions on, or zero beyond the text's end."""
+            out = np.zeros(n, x.dtype)
+            out[: n - k] = x[k:]
+            out[here + k > end] = 0
+            return out
+
         key = np.zeros(n, np.int64)
-        for k in range(7):
-            key = key << 9 | padded[k : n + k]
-        rank, span = self._ranks(key), 7
-        while span * 2 <= length:
-            rank = self._ranks(rank << 32 | self._after(rank, span))
+        for k in range(min(7, n)):
+            key = key << 9 | after(t, k)
+        rank, span, most = _ranks(key), 7, int(self.sizes.max()) + 1
+        strings = key
+        while span < most or span < length:
+            if span < length <= 2 * span:
+                strings = rank.astype(np.int64) << 32 | after(rank, length - span)
+            rank = _ranks(rank.astype(np.int64) << 32 | after(rank, span))
             span *= 2
-        key = rank << 32 | self._after(rank, length - span) if span < length else rank
-        self.order = np.argsort(key, kind="stable")
-        sorted_ = key[self.order]
-        self.new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])  # a row's string differs from the row above
-        bwt = np.where(self.order > 0, t[self.order - 1], 0)
-        self.starts = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | self.new[1:]]))
+        order = np.argsort(rank, kind="stable")  # equal suffixes in order of their texts
+        strings = strings[order]
+        new = np.concatenate([[True], strings[1:] != strings[:-1]])
+        del key, strings, rank
+        bwt = np.where(order > 0, t[order - 1], 0)
+        classes = np.flatnonzero(new)
+        at = place[order]
+        new |= at == np.repeat(np.minimum.reduceat(at, classes), np.diff(np.append(classes, n)))
+        new[1:] |= bwt[1:] != bwt[:-1]
+        self.starts = np.flatnonzero(new)
         self.heads = bwt[self.starts]
-        last = np.concatenate([self.starts[1:], [n]]) - 1
-        self.samples = np.stack([self.order[self.starts], self.order[last]])
-
-    @staticmethod
-    def _ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        s = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], s[1:] != s[:-1]]))
-        return rank
-
-    def _after(self, rank: np.ndarray, k: int) -> np.ndarray:
-        return np.concatenate([rank[k:], np.zeros(k, np.int64)])[: len(rank)] if k < len(rank) else np.zeros_like(rank)
-
-    def repeats(self, place: np.ndarray) -> np.ndarray:
-        """Text positions whose string of ``length`` bytes lies in one text and starts at an earlier place.
-
-        Rows of one string are neighbours and make up whole runs. Each run gives its earliest place, and
-        the earliest of a class's runs is what its rows are held against.
-        """
-        classes = np.flatnonzero(self.new)
-        earliest = np.minimum.reduceat(place[self.order], self.starts)
-        first = np.minimum.reduceat(earliest, np.searchsorted(self.starts, classes))
-        late = place[self.order] > np.repeat(first, np.diff(np.append(classes, self.n)))
-        at = np.sort(self.order[late])
-        end = self.ends[np.searchsorted(self.ends, at)]
-        return at[at + self.length <= end]
+        self.samples = order[self.starts]
+        sizes = np.diff(np.append(self.starts, n))
+        by = np.argsort(self.heads, kind="stable")
+        self.back = np.empty(len(by), np.int64)
+        self.back[by] = np.cumsum(sizes[by]) - sizes[by]
+        first = np.searchsorted(self.starts, classes)
+        self.earliest = np.repeat(np.minimum.reduceat(place[self.samples], first), np.diff(np.append(first, len(self.starts))))
+        self.length = length
+
+    def stream(self):
+        """Of all texts at once, from their ends: ``(text, position, earliest place of the string there)`` for whole strings."""
+        row, texts = np.arange(len(self.sizes)), np.arange(len(self.sizes))
+        run = np.searchsorted(self.starts, row, "right") - 1
+        for step in range(1, int(self.sizes.max(initial=0)) + 1):
+            go = self.sizes[texts] >= step
+            texts, row, run = texts[go], row[go], run[go]
+            row = self.back[run] + row - self.starts[run]
+            run = np.searchsorted(self.starts, row, "right") - 1
+            if step >= self.length:
+                yield texts, self.sizes[texts] - step, self.earliest[run]
 
 
 def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,146 +196,182 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + length
 
 
-def _block(rows: list[tuple], length: int) -> dict[str, list]:
-    """Marks ``(o, a, b)`` of one block of whole anchors; rows are (o, start, text)."""
-    docs = np.array([r[0] for r in rows], np.int64)
-    rank = np.unique(docs, return_inverse=True)[1].astype(np.int64)
-    begin = np.array([r[1] for r in rows], np.int64)
-    index = RunIndex([r[2] for r in rows], length)
-    first = np.concatenate([[0], index.ends[:-1] + 1])
-    own = np.repeat(np.arange(len(rows)), index.ends + 1 - first)
-    inner = np.arange(index.n) - first[own]
-    found = index.repeats((rank[own] << 40) + begin[own] + inner)
-    out: dict[str, list] = {"o": [], "a": [], "b": []}
-    if len(found):
-        who = own[found]
-        for k in np.split(np.arange(len(found)), np.flatnonzero(np.diff(who)) + 1):
-            i = who[k[0]]
-            a, b = _spans(begin[i] + inner[found[k]], length)
-            out["o"] += [rows[i][0]] * len(a)
-            out["a"] += a.tolist()
-            out["b"] += b.tolist()
-    return out
+_MARKS = "o bigint, u bigint, a bigint, b bigint"
+
+
+def _block(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Marks of one block of whole anchors; rows are (o, u, start, text)."""
+    order = {k: i for i, k in enumerate(sorted({r[:2] for r in rows}))}
+    first = np.array([(order[r[:2]] << 36) + r[2] for r in rows], np.int64)
+    sizes = np.fromiter((len(r[3]) + 1 for r in rows), np.int64, len(rows))
+    inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    index = RunIndex([r[3] for r in rows], np.repeat(first, sizes) + inner, length)
+    who, at = [], []
+    for texts, position, earliest in index.stream():
+        late = earliest < first[texts] + position
+        who.append(texts[late])
+        at.append(position[late])
+    out: dict[str, list] = {"o": [], "u": [], "a": [], "b": []}
+    who, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, at))
+    by = np.lexsort((at, who))
+    who, at = who[by], at[by]
+    for k in np.split(np.arange(len(who)), runs(who)[1:]) if len(who) else []:
+        o, u, start, _ = rows[who[k[0]]]
+        a, b = _spans(start + at[k], length)
+        out["o"] += [o] * len(a)
+        out["u"] += [u] * len(a)
+        out["a"] += a.tolist()
+        out["b"] += b.tolist()
+    return pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.int64()) for n in out]))
 
 
 def _copies(rows: DataFrame, length: int) -> DataFrame:
     """Rows of equal surroundings, in order of place: the first keeps its anchor ``h``, the others have none and go whole."""
+    size = gram(length)
 
     def run(batches):
         before = None
         for batch in batches:
-            h, x, o, p, e = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "x", "o", "p", "e"))
+            h, x, o, u, p, e = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "x", "o", "u", "p", "e"))
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
             of = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))  # where the row's group begins
-            first_o, first_p = o[of], p[of]
+            first = [c[of] for c in (o, u, p)]
             if before is not None and (h[0], x[0]) == before[:2]:
                 new[0] = False
-                first_o[of == 0], first_p[of == 0] = before[2:]
-            before = h[-1], x[-1], first_o[-1], first_p[-1]
-            start = np.maximum(p - (length - GRAM), 0)
+                for c, v in zip(first, before[2:]):
+                    c[of == 0] = v
+            before = h[-1], x[-1], *(c[-1] for c in first)
+            start = np.maximum(p - (length - size), 0)
             # shorter surroundings hold no string; a repeated row is its first again
-            keep = (p + e - start >= length) & (new | (o != first_o) | (p != first_p))
-            cols = pa.array(h, pa.int64(), mask=~new), pa.array(o), pa.array(p), pa.array(start), pa.array(p + e)
-            yield pa.RecordBatch.from_arrays(list(cols), names=["h", "o", "p", "a", "b"]).filter(pa.array(keep))
+            keep = (p + e - start >= length) & (new | (o != first[0]) | (u != first[1]) | (p != first[2]))
+            cols = pa.array(h, pa.int64(), mask=~new), pa.array(o), pa.array(u), pa.array(p), pa.array(start), pa.array(p + e)
+            yield pa.RecordBatch.from_arrays(list(cols), names=["h", "o", "u", "p", "a", "b"]).filter(pa.array(keep))
 
-    sorted_ = rows.repartition("h", "x").sortWithinPartitions("h", "x", "o", "p")
-    return sorted_.mapInArrow(run, "h bigint, o bigint, p bigint, a bigint, b bigint")
+    sorted_ = rows.repartition("h", "x").sortWithinPartitions("h", "x", "o", "u", "p")
+    return sorted_.mapInArrow(run, "h bigint, o bigint, u bigint, p bigint, a bigint, b bigint")
 
 
-def _sharing(group: list[tuple], half: int) -> list[tuple]:
+def _sharing(group: list[tuple], size: int, half: int) -> list[tuple]:
     """Rows of one anchor that share it and ``half`` bytes on one side with another row: any longer match needs that."""
     seen: dict[bytes, int] = {}
     sides = []
-    for _, a, p, t in group:
+    for _, _, a, p, t in group:
         at = p - a
-        own = [b"r" + t[at : at + GRAM + half]] + ([b"l" + t[at - half : at + GRAM]] if at >= half else [])
+        own = [b"r" + t[at : at + size + half]] + ([b"l" + t[at - half : at + size]] if at >= half else [])
         sides.append(own)
         for s in own:
             seen[s] = seen.get(s, 0) + 1
     return [r for r, own in zip(group, sides) if any(seen[s] > 1 for s in own)]
 
 
-def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 4 << 20) -> DataFrame:
-    """``(o, a, b)``: byte ranges to remove in document ``o``; they may overlap. ``docs`` is ``(o, t)``."""
-    spark, reach = docs.sparkSession, length - GRAM
-
-    def hashes(o, t):
-        h, n = np.unique(anchors(t, length)[1], return_counts=True)
-        return h.view(np.int64), n
+def _apart(meet: DataFrame, length: int) -> DataFrame:
+    """Marks of anchors too hot for one task: every string of ``length`` is a key, and its earliest place an aggregate."""
+    names = ["k", "l", "o", "u", "a"]
 
-    counted = _over(docs, hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    seen = Bitmap(counted, "h", bits)
-    del counted
+    def strings(batches):
+        for batch in batches:
+            for some in slices(batch, "t", 1 << 19):
+                out: dict[str, list] = {n: [] for n in names}
+                for o, u, a, t in zip(*(some.column(n).to_pylist() for n in ("o", "u", "a", "t"))):
+                    for i in range(len(t) - length + 1):
+                        both = xxhash.xxh3_128_digest(t[i : i + length])
+                        for n, v in zip(names, (int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True), o, u, a + i)):
+                            out[n].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.int64()) for n in names]))
+
+    keyed = meet.mapInArrow(strings, ", ".join(f"{n} bigint" for n in names))
+    place = F.struct("o", "u", "a")
+    first = keyed.groupBy("k", "l").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(first, ["k", "l"]).where(place > F.col("first")).select("o", "u", "a", (F.col("a") + length).alias("b"))
+
+
+def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 1 << 20, hot: int = 50_000) -> DataFrame:
+    """``(o, u, a, b)``: byte ranges to remove in document ``(o, u)``; they may overlap. ``docs`` is ``(o, u, t)``."""
+    spark, size = docs.sparkSession, gram(length)
+    reach = length - size
+
+    def hashes(texts):
+        yield 2, [np.concatenate([anchors(t or b"", length)[1] for t in texts])]
+
+    counted = tally(docs.withColumnRenamed("t", "text"), hashes, 1, least=2)
+    seen = Bitmap(counted, "x", bits)
     common.release(spark)
 
-    def surroundings(o, t):
+    def surroundings(o, u, t):
         at, h = anchors(t, length)
         keep = seen.has(h)
         at, h = at[keep], h[keep]
         x, name = np.empty(len(at), np.uint64), xxhash.xxh3_64_intdigest
         for i, p in enumerate(at.tolist()):
             x[i] = name(t[max(0, p - reach) : p + length], min(p, reach))
-        return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), at, np.minimum(at + length, len(t)) - at
+        return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), np.full(len(at), u, np.int64), at, np.minimum(at + length, len(t)) - at
 
-    near = _copies(_over(docs, surroundings, "h bigint, x bigint, o bigint, p bigint, e bigint"), length)
+    near = _copies(_over(docs, surroundings, "h bigint, x bigint, o bigint, u bigint, p bigint, e bigint"), length)
     found = common.store(near, "anchors")
     common.release(spark)
-    first = found.where("h is not null")
-    several = Bitmap(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "h", bits)
-    wanted = Bitmap(_placed(first.select("h", "o", "p"), several), "y", bits)
+    first = found.where("h is not null").select("h", "o", "u", "p")
+    sizes = common.store(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
+    several = Bitmap(sizes, "h", bits)
+    wanted = Bitmap(_placed(first, several), "y", bits)
     common.release(spark)
 
-    def texts(o, t):
+    def texts(o, u, t):
         at, h = anchors(t, length)
         keep = several.has(h)
         at, h = at[keep], h[keep]
-        keep = wanted.has(_place(h, np.full(len(at), o, np.int64).view(np.uint64), at))
-        at, h = at[keep], h[keep]
+        os, us = np.full(len(at), o, np.int64), np.full(len(at), u, np.int64)
+        keep = wanted.has(_place(h, os.view(np.uint64), us.view(np.uint64), at))
+        at, h, os, us = at[keep], h[keep], os[keep], us[keep]
         a = np.maximum(at - reach, 0)
-        return h.view(np.int64), np.full(len(at), o, np.int64), a, at, [t[i : p + length] for i, p in zip(a.tolist(), at.tolist())]
+        return h.view(np.int64), os, us, a, at, [t[i : p + length] for i, p in zip(a.tolist(), at.tolist())]
 
-    meet = _over(docs, texts, "h bigint, o bigint, a bigint, p bigint, t binary")
-    meet = meet.repartition("h").sortWithinPartitions("h", "o", "p")
+    meet = _over(docs, texts, "h bigint, o bigint, u bigint, a bigint, p bigint, t binary")
 
     def walk(batches):
-        rows, size, anchor, group = [], 0, None, []
+        rows, held, anchor, group = [], 0, None, []
 
         def taken():
             """The group's rows that can match join the block."""
-            more = _sharing(group, reach - reach // 2) if len(group) > 1 else []
-            rows.extend((o, a, t) for o, a, _, t in more)
-            return sum(len(r[3]) + 1 for r in more)
+            more = _sharing(group, size, reach - reach // 2) if len(group) > 1 else []
+            rows.extend((o, u, a, t) for o, u, a, _, t in more)
+            return sum(len(r[4]) + 1 for r in more)
 
         for batch in batches:
-            for h, *row in zip(*(batch.column(n).to_pylist() for n in ("h", "o", "a", "p", "t"))):
+            for h, *row in zip(*(batch.column(n).to_pylist() for n in ("h", "o", "u", "a", "p", "t"))):
                 if h != anchor:
-                    size += taken()
+                    held += taken()
                     anchor, group = h, []
-                    if size > block:
-                        yield pa.RecordBatch.from_pydict(_block(rows, length), schema=kinds)
-                        rows, size = [], 0
+                    if held > block:
+                        yield _block(rows, length)
+                        rows, held = [], 0
                 group.append(tuple(row))
-        taken()
-        if len(rows) > 1:
-            yield pa.RecordBatch.from_pydict(_block(rows, length), schema=kinds)
+        held += taken()
+        if rows:
+            yield _block(rows, length)
 
-    kinds = pa.schema([("o", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    return found.where("h is null").select("o", "a", "b").unionByName(meet.mapInArrow(walk, "o bigint, a bigint, b bigint"))
+    found = found.where("h is null").select("o", "u", "a", "b")
+    large = sizes.where(F.col("k") > hot).select("h")
+    if not large.isEmpty():
+        meet = common.store(meet, "meet")
+        found = found.unionByName(_apart(meet.join(large, "h", "left_semi").select("o", "u", "a", "t").distinct(), length))
+        meet = meet.join(large, "h", "left_anti")
+    meet = meet.repartition("h").sortWithinPartitions("h", "o", "u", "p")
+    return found.unionByName(meet.mapInArrow(walk, _MARKS))
 
 
 def _placed(need: DataFrame, several: Bitmap) -> DataFrame:
     def run(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(several.has(np.array(batch.column("h").to_numpy(zero_copy_only=False)).view(np.uint64))))
-            h, o, p = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "o", "p"))
-            x = _place(np.array(h).view(np.uint64), np.array(o).view(np.uint64), np.array(p))
+            h, o, u, p = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "o", "u", "p"))
+            keep = several.has(h.view(np.uint64))
+            x = _place(h[keep].view(np.uint64), o[keep].view(np.uint64), u[keep].view(np.uint64), p[keep])
             yield pa.RecordBatch.from_pydict({"y": pa.array(x.view(np.int64))})
 
     return need.mapInArrow(run, "y bigint")
 
 
-def merged(pairs: list, size: int) -> tuple[list[tuple[int, int]], int]:
+def merged(pairs: list) -> tuple[list[tuple[int, int]], int]:
     """Maximal ranges of the union, and the bytes they hold."""
     out: list[list[int]] = []
     for a, b in sorted(pairs):
@@ -330,36 +384,37 @@ def merged(pairs: list, size: int) -> tuple[list[tuple[int, int]], int]:
 
 def removed(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     """The contract's columns and ``kept``, the bytes left of each text."""
-    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.col("text").cast("binary").alias("t"))
-    found = marks(base.select("o", "t"), length, **options)
-    found = common.store(found.groupBy("o").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
+    text = F.col("text").cast("binary")
+    base = docs.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("o"), F.xxhash64(text, F.col("doc_id").isNull()).alias("u"), text.alias("t"))
+    found = marks(base.select("o", "u", "t"), length, **options)
+    found = common.store(found.groupBy("o", "u").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
     common.release(docs.sparkSession)
     # documents without marks need not move; the others meet theirs
-    marked = Bitmap(found.select(F.xxhash64("o").alias("y")), "y", 23)
+    marked = Bitmap(found.select(F.xxhash64("o", "u").alias("y")), "y", 23)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"doc_id": batch.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
-            for t, m in zip(batch.column("t").to_pylist(), batch.column("m").to_pylist()):
-                t = t or b""
-                spans, n = merged([(x["a"], x["b"]) for x in m or []], len(t))
-                cut = [0, *(x for s in spans for x in s), len(t)]
-                kept = b"".join(t[a:b] for a, b in zip(cut[::2], cut[1::2]))
-                for k, v in (("n_bytes", len(t)), ("n_removed", n), ("n_spans", len(spans)), ("kept", kept), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=kinds)
-
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
+            for some in slices(batch, "t"):
+                out: dict[str, list] = {"doc_id": some.column("doc_id"), "n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": []}
+                for t, m in zip(some.column("t").to_pylist(), some.column("m").to_pylist()):
+                    t = t or b""
+                    spans, n = merged([(x["a"], x["b"]) for x in m or []])
+                    cut = [0, *(x for s in spans for x in s), len(t)]
+                    kept = b"".join(t[a:b] for a, b in zip(cut[::2], cut[1::2]))
+                    for k, v in (("n_bytes", len(t)), ("n_removed", n), ("n_spans", len(spans)), ("kept", kept), ("kept_sha256", hashlib.sha256(kept).hexdigest())):
+                        out[k].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     def apart(want: bool) -> DataFrame:
         def pick(batches):
             for batch in batches:
-                y = np.array(batch.column("y").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                yield batch.filter(pa.array(marked.has(y) == want)).select(["doc_id", "o", "t"])
+                y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield batch.filter(pa.array(marked.has(y) == want)).drop_columns(["y"])
 
-        return base.withColumn("y", F.xxhash64("o")).mapInArrow(pick, "doc_id bigint, o bigint, t binary")
+        return base.withColumn("y", F.xxhash64("o", "u")).mapInArrow(pick, "doc_id bigint, o bigint, u bigint, t binary")
 
     still = apart(False).withColumn("m", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
-    moved = apart(True).join(found, "o", "left")
+    moved = apart(True).join(found, ["o", "u"], "left")
     return still.select("doc_id", "t", "m").unionByName(moved.select("doc_id", "t", "m")).mapInArrow(run, schema)

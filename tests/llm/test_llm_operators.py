@@ -403,7 +403,7 @@ class TestPii:
 class TestSuffixDedup:
     def brute(self, rows, n):
         seen, out = set(), {}
-        for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        for d, u, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
             b, cov = (t or "").encode(), bytearray(len((t or "").encode()))
             for i in range(len(b) - n + 1):
                 if b[i : i + n] in seen:
@@ -411,16 +411,19 @@ class TestSuffixDedup:
                 else:
                     seen.add(b[i : i + n])
             kept = bytes(c for c, m in zip(b, cov) if not m)
-            out[d] = (len(b), sum(cov), len(re.findall(b"\1+", bytes(cov))), hashlib.sha256(kept).hexdigest())
+            out.setdefault(d, set()).add((len(b), sum(cov), len(re.findall(b"\1+", bytes(cov))), hashlib.sha256(kept).hexdigest()))
         return out
 
     def check(self, df, n=100, **options):
-        rows = list({(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()})
+        text = F.col("text").cast("binary")
+        rows = list({(r.doc_id, r.u, r.text) for r in df.select("doc_id", "text", F.xxhash64(text, F.col("doc_id").isNull()).alias("u")).collect()})
         want = self.brute(rows, n)
         got = suffix_dedup.removed(df, n, **options).collect()
         assert len(got) == df.count()
+        found = {}
         for r in got:
-            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+            found.setdefault(r.doc_id, set()).add((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256))
+        assert found == want
 
     def test_corpus(self, docs, none):
         self.check(docs)
@@ -432,6 +435,25 @@ class TestSuffixDedup:
         texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 6))) for _ in range(60)]
         self.check(frame(spark, texts, 10))
         self.check(frame(spark, texts, 10), block=500)  # many small blocks
+        self.check(frame(spark, texts, 10), hot=2)  # anchors that are too hot for one task
+        self.check(frame(spark, texts, 10).withColumn("doc_id", F.expr("if(doc_id % 3 = 0, null, doc_id div 4)")))  # one doc_id, several texts
+
+    def test_index(self):
+        r = random.Random(9)
+        texts = ["".join(r.choice("ab") for _ in range(r.randint(0, 60))).encode() for _ in range(40)]
+        first = np.cumsum([0] + [len(t) + 1 for t in texts])
+        index = suffix_dedup.RunIndex(texts, np.arange(first[-1]), 8)
+        bwt, rows = "".join(chr(h) for h in np.repeat(index.heads, np.diff(np.append(index.starts, first[-1])))), 0
+        assert sorted(bwt) == sorted(b"".join(texts).translate(bytes((c + 1) % 256 for c in range(256))).decode() + "\0" * len(texts))
+        where = {}
+        for i, t in enumerate(texts):
+            for p in range(len(t) - 7):
+                where.setdefault(t[p : p + 8], int(first[i]) + p)
+        for who, at, earliest in index.stream():
+            for i, p, e in zip(who.tolist(), at.tolist(), earliest.tolist()):
+                assert where[texts[i][p : p + 8]] == e
+                rows += 1
+        assert rows == sum(max(len(t) - 7, 0) for t in texts)
 
 
 def test_null_and_clashing_columns_survive(docs):
