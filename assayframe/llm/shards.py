@@ -8,6 +8,8 @@ a range of keys, so hot keys cost a shard one entry a chunk. Nothing here reache
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes of text each, whatever number of rows that is."""
     if not batch.num_rows:
         return
@@ -50,6 +52,14 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20) -> Iterator[
         at = to
 
 
+def trim() -> None:
+    """Give freed memory back: Spark keeps idle Python workers, and they keep what their last task took."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(lib := ctypes.CDLL(libc), "malloc_trim"):
+        lib.malloc_trim(0)
+
+
 def runs(*columns: np.ndarray) -> np.ndarray:
     """Where a row of the sorted columns differs from the row above."""
     new = np.ones(len(columns[0]), bool)
@@ -68,10 +78,11 @@ def added(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], n
     return [c[at] for c in columns], np.add.reduceat(n, at) if len(at) else n
 
 
-def tally(docs: DataFrame, f: Callable, width: int, least: int = 1, flush: int = 1_500_000) -> DataFrame:
+def tally(docs: DataFrame, f: Callable, least: int = 1, flush: int = 1_000_000) -> DataFrame:
     """``(o, x, y, n)``: rows that occur at least ``least`` times; those of kind 1 always.
 
-    ``f(texts)`` gives ``(o, columns)`` pairs: kind, and ``width`` or fewer arrays of 64-bit keys, a row each.
+    ``docs`` has the text as ``__text``, in bytes. ``f(batch)`` gives ``(o, columns)`` pairs: kind, and one or two
+    arrays of 64-bit keys.
     """
     shards = shard_count(docs.sparkSession)
 
@@ -90,7 +101,7 @@ def tally(docs: DataFrame, f: Callable, width: int, least: int = 1, flush: int =
         size = 0
         for batch in batches:
             for some in slices(batch, "__text"):
-                for o, cols in f(some.column("__text").to_pylist()):
+                for o, cols in f(some):
                     parts.setdefault(o, []).append(cols)
                     size += len(cols[0])
                 if size > flush:
@@ -98,6 +109,7 @@ def tally(docs: DataFrame, f: Callable, width: int, least: int = 1, flush: int =
                     parts, size = {}, 0
         if size:
             yield from dealt(parts)
+        trim()
 
     def merge(rows: list, o: int) -> pa.RecordBatch:
         cols = [np.concatenate([unpack(r[k]) for r in rows]) for k in (0, 1)[: 1 if rows[0][1] is None else 2]]
@@ -117,20 +129,27 @@ def tally(docs: DataFrame, f: Callable, width: int, least: int = 1, flush: int =
                 rows.append((x, y, n))
         if rows:
             yield merge(rows, now[0])
+        trim()
 
-    sent = docs.select(F.col("text").cast("binary").alias("__text")).mapInArrow(send, "o int, s int, x binary, y binary, n binary")
+    sent = docs.mapInArrow(send, "o int, s int, x binary, y binary, n binary")
     return sent.repartition("o", "s").sortWithinPartitions("o", "s").mapInArrow(gather, "o int, x bigint, y bigint, n bigint")
 
 
 class Bitmap:
-    """A set of 64-bit hashes, as a bitmap of fixed size; may say yes to some others."""
+    """A set of 64-bit hashes, as a bitmap of fixed size; may say yes to some others.
 
-    def __init__(self, hashes: DataFrame, column: str, bits: int):
+    The hashes are a column of ``rows``, or what ``column(batch)`` makes of a batch.
+    """
+
+    def __init__(self, rows: DataFrame, column: str | Callable, bits: int):
         self.shift, page = np.uint64(64 - bits), min(_PAGE, bits - 6)
 
+        def hashes(batch):
+            return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) if isinstance(column, str) else column(batch)
+
         def send(batches):
             for batch in batches:
-                slot = np.unique(batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                slot = np.unique(hashes(batch) >> np.uint64(64 - bits)).astype(np.int64)
                 at = runs(slot >> page)
                 cut = [*at.tolist(), len(slot)]
                 place = (slot & ((1 << page) - 1)).astype(np.uint32)
@@ -153,7 +172,7 @@ class Bitmap:
 
         self.words = np.zeros(1 << (bits - 6), np.uint64)
         schema, octets = "page bigint, some binary", self.words.view(np.uint8)
-        sent = hashes.select(F.col(column).alias("h")).mapInArrow(send, schema)
+        sent = (rows.select(column) if isinstance(column, str) else rows).mapInArrow(send, schema)
         for r in sent.repartition("page").sortWithinPartitions("page").mapInArrow(gather, schema).toLocalIterator():
             octets[r.page << (page - 3) : (r.page + 1) << (page - 3)] = np.frombuffer(r.some, np.uint8)
 

@@ -7,10 +7,11 @@ input, not on what is left.
 Equal strings of that length share their anchors, the grams of lowest hash in a window, at the same
 place. So anchors route the work, with no pair of documents ever formed:
 
-1. Anchor hashes are counted in shards. Repeated ones go back to the scan as a bitmap of fixed size;
-   what it lets through by mistake costs work, not correctness.
-2. Repeated anchors carry a hash of their surroundings, all bytes that a string around them
-   could reach. Every occurrence of the same surroundings but the first goes whole.
+1. Texts are cut into segments of some anchors, with all bytes that a string around those could reach.
+   Every occurrence of the same segment but the first goes whole, and its anchors are done with.
+2. Hashes of the other anchors, with some bytes on either side, are counted in shards. Repeated ones carry a hash of their own
+   surroundings; again every occurrence but the first goes whole. What the scan has to know of earlier
+   steps are bitmaps of fixed size; what they let through by mistake costs work, not correctness.
 3. The first occurrences of different surroundings around one anchor meet, in blocks of whole
    anchors. A block is indexed by its Burrows-Wheeler transform in runs (:class:`RunIndex`), and its
    texts are streamed over that index from their ends: each backward step gives the row of the next
@@ -26,6 +27,7 @@ text counts as empty; a null doc_id sorts before all others. Other columns are i
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .shards import Bitmap, runs, slices, tally
+from .shards import Bitmap, runs, slices, tally, trim
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -57,11 +59,24 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are lowest in some window of ``length`` bytes."""
+    return _anchors(text, length)[:2]
+
+
+def _anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors, and hashes of each with bytes on its left and on its right (zero: there are none).
+
+    A string of ``length`` around an anchor reaches at least half of the bytes beyond it on one side, so
+    it repeats only if the anchor does with ``side`` bytes there.
+    """
     if len(text) < length:
-        return _NONE
+        return *_NONE, np.zeros((2, 0), np.uint64)
     h, step, size = _BYTE[np.frombuffer(text, np.uint8)], 1, gram(length)
+    half = (length - size) // 2
+    side, beside = (1 << half.bit_length() - 1 if half else 0), h
     for m in _MIX[: size.bit_length() - 1]:
         h, step = h[:-step] * m + h[step:], 2 * step
+        if step == side:
+            beside = h
     h ^= h >> np.uint64(29)
     h *= _MIX[0]
     h ^= h >> np.uint64(32)
@@ -69,7 +84,15 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     pad = np.zeros(width - 1, np.uint64)
     low = _slide(h, width, np.minimum)
     at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
-    return at, h[at]
+    h = h[at]
+    if not side:
+        return at, h, np.stack([h, h])
+    both = np.zeros((2, len(at)), np.uint64)
+    for k, (place, ok) in enumerate(((at - side, at >= side), (at + size, at + size + side <= len(text)))):
+        x = (beside[place[ok]] + _MIX[k + 1]) * _MIX[k + 4] ^ h[ok]
+        x = (x ^ x >> np.uint64(32)) * _MIX[0]
+        both[k, ok] = x ^ x >> np.uint64(29)
+    return at, h, both
 
 
 def _place(h: np.ndarray, o: np.ndarray, u: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -80,7 +103,7 @@ def _place(h: np.ndarray, o: np.ndarray, u: np.ndarray, at: np.ndarray) -> np.nd
     return x ^ (x >> np.uint64(29))
 
 
-def _over(docs: DataFrame, f, schema: str, most: int = 8 << 20) -> DataFrame:
+def _over(docs: DataFrame, f, schema: str, most: int = 4 << 20) -> DataFrame:
     """``f(document's key columns, text)`` gives columns; rows go out in batches of about ``most`` bytes."""
     names = [x.split(" ")[0] for x in schema.split(", ")]
     kinds = [common._ARROW[x.split(" ")[1]] for x in schema.split(", ")]
@@ -104,6 +127,7 @@ def _over(docs: DataFrame, f, schema: str, most: int = 8 << 20) -> DataFrame:
                         parts, size = [], 0
                 if parts:
                     yield out(parts)
+        trim()
 
     return docs.mapInArrow(run, schema)
 
@@ -150,14 +174,23 @@ class RunIndex:
         key = np.zeros(n, np.int64)
         for k in range(min(7, n)):
             key = key << 9 | after(t, k)
-        rank, span, most = _ranks(key), 7, int(self.sizes.max()) + 1
-        strings = key
-        while span < most or span < length:
-            if span < length <= 2 * span:
-                strings = rank.astype(np.int64) << 32 | after(rank, length - span)
-            rank = _ranks(rank.astype(np.int64) << 32 | after(rank, span))
-            span *= 2
-        order = np.argsort(rank, kind="stable")  # equal suffixes in order of their texts
+        width = int(n).bit_length()
+        ways = 3 if 3 * width < 64 else 2  # ranks that one key can hold
+
+        def joined(rank: np.ndarray, at: list[int]) -> np.ndarray:
+            out = rank.astype(np.int64)
+            for k in at:
+                out = out << width | after(rank, k)
+            return out
+
+        span, most, strings = 7, max(int(self.sizes.max()) + 1, length), None
+        while strings is None or span < most:
+            rank = _ranks(key)
+            if strings is None and length <= ways * span:
+                strings = joined(rank, sorted({min(span, max(length - span, 0)), max(length - span, 0)})[: ways - 1] if length > span else [])
+            key = joined(rank, [span * k for k in range(1, ways)])
+            span *= ways
+        order = np.argsort(key, kind="stable")  # equal suffixes in order of their texts
         strings = strings[order]
         new = np.concatenate([[True], strings[1:] != strings[:-1]])
         del key, strings, rank
@@ -196,6 +229,16 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + length
 
 
+def segments(h: np.ndarray, wide: int = 8) -> np.ndarray:
+    """First anchors of a text's segments: those of lowest hash among ``wide`` neighbours on both sides, and the first of all."""
+    if len(h) < 2:
+        return np.zeros(min(len(h), 1), np.int64)
+    pad = np.full(wide, ~np.uint64(0))
+    first = _slide(np.concatenate([pad, h, pad]), 2 * wide + 1, np.minimum) == h
+    first[0] = True
+    return np.flatnonzero(first)
+
+
 _MARKS = "o bigint, u bigint, a bigint, b bigint"
 
 
@@ -225,14 +268,14 @@ def _block(rows: list[tuple], length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, pa.int64()) for n in out]))
 
 
-def _copies(rows: DataFrame, length: int) -> DataFrame:
-    """Rows of equal surroundings, in order of place: the first keeps its anchor ``h``, the others have none and go whole."""
-    size = gram(length)
+def _copies(rows: DataFrame) -> DataFrame:
+    """``rows(h, x, o, u, p, a, b)`` of one content (h, x), in order of place: the first keeps its ``h``, the others have none and go whole."""
+    names = ["h", "x", "o", "u", "p", "a", "b"]
 
     def run(batches):
         before = None
         for batch in batches:
-            h, x, o, u, p, e = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("h", "x", "o", "u", "p", "e"))
+            h, x, o, u, p, a, b = (batch.column(n).to_numpy(zero_copy_only=False) for n in names)
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
             of = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))  # where the row's group begins
@@ -242,10 +285,8 @@ def _copies(rows: DataFrame, length: int) -> DataFrame:
                 for c, v in zip(first, before[2:]):
                     c[of == 0] = v
             before = h[-1], x[-1], *(c[-1] for c in first)
-            start = np.maximum(p - (length - size), 0)
-            # shorter surroundings hold no string; a repeated row is its first again
-            keep = (p + e - start >= length) & (new | (o != first[0]) | (u != first[1]) | (p != first[2]))
-            cols = pa.array(h, pa.int64(), mask=~new), pa.array(o), pa.array(u), pa.array(p), pa.array(start), pa.array(p + e)
+            keep = new | (o != first[0]) | (u != first[1]) | (p != first[2])  # a repeated row is its first again
+            cols = pa.array(h, pa.int64(), mask=~new), *map(pa.array, (o, u, p, a, b))
             yield pa.RecordBatch.from_arrays(list(cols), names=["h", "o", "u", "p", "a", "b"]).filter(pa.array(keep))
 
     sorted_ = rows.repartition("h", "x").sortWithinPartitions("h", "x", "o", "u", "p")
@@ -286,38 +327,59 @@ def _apart(meet: DataFrame, length: int) -> DataFrame:
     return keyed.join(first, ["k", "l"]).where(place > F.col("first")).select("o", "u", "a", (F.col("a") + length).alias("b"))
 
 
-def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 1 << 20, hot: int = 50_000) -> DataFrame:
-    """``(o, u, a, b)``: byte ranges to remove in document ``(o, u)``; they may overlap. ``docs`` is ``(o, u, t)``."""
+def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 1 << 19, hot: int = 50_000) -> DataFrame:
+    """``(o, u, m)``, stored: each document's byte ranges to remove; they may overlap. ``docs`` is ``(o, u, t)``."""
     spark, size = docs.sparkSession, gram(length)
     reach = length - size
+    schema = "h bigint, x bigint, o bigint, u bigint, p bigint, a bigint, b bigint"
 
-    def hashes(texts):
-        yield 2, [np.concatenate([anchors(t or b"", length)[1] for t in texts])]
+    def whole(o, u, t):
+        at, h = anchors(t, length)
+        cut = segments(h)
+        a, b = np.maximum(at[cut] - reach, 0), np.minimum(at[np.append(cut[1:], len(at)) - 1] + length, len(t)) if len(at) else cut
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t[i:j]) for i, j in zip(a.tolist(), b.tolist())]), np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1], np.full(len(a), o, np.int64), np.full(len(a), u, np.int64), at[cut], a, b
 
-    counted = tally(docs.withColumnRenamed("t", "text"), hashes, 1, least=2)
-    seen = Bitmap(counted, "x", bits)
+    cuts = common.store(_copies(_over(docs, whole, schema)), "segments")
+    common.release(spark)
+    open_ = Bitmap(cuts.where("h is not null").select("h", "o", "u", "p"), _spot(None), bits)
+
+    def left(o, u, t):
+        """Anchors of the segments that did not go whole, as :func:`_anchors` gives them."""
+        at, h, both = _anchors(t, length)
+        cut = segments(h)
+        place = _place(np.zeros(len(cut), np.uint64), np.full(len(cut), o, np.int64).view(np.uint64), np.full(len(cut), u, np.int64).view(np.uint64), at[cut])
+        keep = np.repeat(open_.has(place), np.diff(np.append(cut, len(at))))
+        return at[keep], h[keep], both[:, keep]
+
+    def hashes(batch):
+        rows = zip(*(batch.column(n).to_pylist() for n in ("o", "u", "__text")))
+        x = np.concatenate([left(o, u, t or b"")[2].ravel() for o, u, t in rows])
+        yield 2, [x[x > 0]]
+
+    seen = Bitmap(tally(docs.withColumnRenamed("t", "__text"), hashes, least=2).select("x"), "x", bits)
     common.release(spark)
 
     def surroundings(o, u, t):
-        at, h = anchors(t, length)
-        keep = seen.has(h)
-        at, h = at[keep], h[keep]
+        at, h, both = left(o, u, t)
+        a, b = np.maximum(at - reach, 0), np.minimum(at + length, len(t))
+        keep = (seen.has(both) & (both > 0)).any(0) & (b - a >= length)  # shorter surroundings hold no string
+        at, h, a, b = at[keep], h[keep], a[keep], b[keep]
         x, name = np.empty(len(at), np.uint64), xxhash.xxh3_64_intdigest
-        for i, p in enumerate(at.tolist()):
-            x[i] = name(t[max(0, p - reach) : p + length], min(p, reach))
-        return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), np.full(len(at), u, np.int64), at, np.minimum(at + length, len(t)) - at
+        for i, (p, q) in enumerate(zip(a.tolist(), b.tolist())):
+            x[i] = name(t[p:q])
+        return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), np.full(len(at), u, np.int64), at, a, b
 
-    near = _copies(_over(docs, surroundings, "h bigint, x bigint, o bigint, u bigint, p bigint, e bigint"), length)
-    found = common.store(near, "anchors")
+    found = common.store(_copies(_over(docs, surroundings, schema)), "anchors")
     common.release(spark)
     first = found.where("h is not null").select("h", "o", "u", "p")
     sizes = common.store(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "sizes")
     several = Bitmap(sizes, "h", bits)
-    wanted = Bitmap(_placed(first, several), "y", bits)
+    wanted = Bitmap(first, _spot(several), bits)
     common.release(spark)
 
     def texts(o, u, t):
-        at, h = anchors(t, length)
+        at, h, _ = left(o, u, t)
         keep = several.has(h)
         at, h = at[keep], h[keep]
         os, us = np.full(len(at), o, np.int64), np.full(len(at), u, np.int64)
@@ -349,26 +411,34 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 1 <<
         held += taken()
         if rows:
             yield _block(rows, length)
+        trim()
 
-    found = found.where("h is null").select("o", "u", "a", "b")
+    parts = [x.where("h is null").select("o", "u", "a", "b") for x in (cuts, found)]
     large = sizes.where(F.col("k") > hot).select("h")
     if not large.isEmpty():
         meet = common.store(meet, "meet")
-        found = found.unionByName(_apart(meet.join(large, "h", "left_semi").select("o", "u", "a", "t").distinct(), length))
+        parts.append(_apart(meet.join(large, "h", "left_semi").select("o", "u", "a", "t").distinct(), length))
         meet = meet.join(large, "h", "left_anti")
-    meet = meet.repartition("h").sortWithinPartitions("h", "o", "u", "p")
-    return found.unionByName(meet.mapInArrow(walk, _MARKS))
+    parts.append(meet.repartition("h").sortWithinPartitions("h", "o", "u", "p").mapInArrow(walk, _MARKS))
+    every = reduce(DataFrame.unionByName, parts)
+    out = common.store(every.groupBy("o", "u").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
+    del every, parts
+    for x in (cuts, found, sizes, meet):
+        common.drop(x)
+    common.release(spark)
+    return out
 
 
-def _placed(need: DataFrame, several: Bitmap) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            h, o, u, p = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "o", "u", "p"))
-            keep = several.has(h.view(np.uint64))
-            x = _place(h[keep].view(np.uint64), o[keep].view(np.uint64), u[keep].view(np.uint64), p[keep])
-            yield pa.RecordBatch.from_pydict({"y": pa.array(x.view(np.int64))})
+def _spot(several: Bitmap | None):
+    """The hash of a row's anchor (none: of its segment) and place; of repeated anchors only."""
+
+    def f(batch):
+        h, o, u, p = (batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("h", "o", "u", "p"))
+        keep = np.ones(len(h), bool) if several is None else several.has(h.view(np.uint64))
+        h = h * 0 if several is None else h
+        return _place(h[keep].view(np.uint64), o[keep].view(np.uint64), u[keep].view(np.uint64), p[keep])
 
-    return need.mapInArrow(run, "y bigint")
+    return f
 
 
 def merged(pairs: list) -> tuple[list[tuple[int, int]], int]:
@@ -387,8 +457,6 @@ def removed(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     text = F.col("text").cast("binary")
     base = docs.select("doc_id", F.coalesce("doc_id", F.lit(_FIRST)).alias("o"), F.xxhash64(text, F.col("doc_id").isNull()).alias("u"), text.alias("t"))
     found = marks(base.select("o", "u", "t"), length, **options)
-    found = common.store(found.groupBy("o", "u").agg(F.collect_set(F.struct("a", "b")).alias("m")), "marks")
-    common.release(docs.sparkSession)
     # documents without marks need not move; the others meet theirs
     marked = Bitmap(found.select(F.xxhash64("o", "u").alias("y")), "y", 23)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"
