@@ -13,10 +13,12 @@ two words, so its sum of log10 probabilities is a sum over the text's n-grams, e
 - pair: its arc less that failure path, and the failure weight of the state it is;
 - triple: its arc less that failure path.
 
-N-grams that the model lacks add nothing. So texts' n-grams are joined to ``(key, v, base)`` by a 64-bit key
-and summed. N-grams that hold 1/``size`` of all tokens, of which there can be only ``size`` of an order,
-are broadcast as a cache, and a bitmap of fixed size spares the join n-grams that are not the
-model's; neither changes a result. :class:`Automaton` is the same model of a small corpus in one process.
+N-grams that the model lacks add nothing. So texts' n-grams look up ``(key, v, base)`` by a 64-bit key
+and are summed. Counts and look-ups run in shards of the keys: a chunk of text sends each shard its distinct
+keys in order, with the rows they stand in, and gets back a sum a row. N-grams that hold 1/``size`` of
+all tokens, of which there can be only ``size`` of an order, are broadcast as a cache, and a bitmap of
+fixed size spares the shards n-grams that are not the model's; neither changes a result.
+:class:`Automaton` is the same model of a small corpus in one process.
 
 A null text counts as empty: its only token is the end. A null doc_id counts as training. Each
 input row has one output row, repeated rows too; further columns are ignored; with no training rows
@@ -38,11 +40,10 @@ from pyspark.sql import functions as F
 from . import common
 from .classifiers import held_out
 from .simhash import LOWER
-from .shards import Bitmap
+from .shards import Bitmap, pack, runs, shard_count, shard_of, slices, tally, trim, unpack
 
 END = b"\n"  # no word holds a line break
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
-_CHUNK = 1 << 22
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -216,18 +217,6 @@ def _key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _long(y, _long(x, np.uint64(42)))
 
 
-def _chunks(texts: list):
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t or b"")
-        if size > _CHUNK:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def _grams(texts: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' words, each text after a mark of its beginning: text, place in it, hash, key of the pair that ends there."""
     lists = [[END, *tokens(t)] for t in texts]
@@ -240,31 +229,17 @@ def _grams(texts: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, place, a, pair
 
 
-def _tally(docs: DataFrame, f) -> DataFrame:
-    """``(o, x, y, n)``: how often the n-gram of order ``o`` with parts ``x, y`` occurs; ``f`` gives orders, keys and parts."""
-
-    def run(batches):
-        hashes = _Hashes()
-        for batch in batches:
-            for texts in _chunks(batch.column("__text").to_pylist()):
-                for o, key, x, y in f(*_grams(texts, hashes)[1:]):
-                    _, at, n = np.unique(key, return_index=True, return_counts=True)
-                    cols = [np.full(len(at), o, np.int32), x[at].view(np.int64), y[at].view(np.int64), n]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["o", "x", "y", "n"])
-
-    counted = docs.select(F.col("text").cast("binary").alias("__text")).mapInArrow(run, "o int, x bigint, y bigint, n bigint")
-    return counted.groupBy("o", "x", "y").agg(F.sum("n").alias("n"))
-
-
 def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[DataFrame, int, float]:
     """States and arcs of the whole model as ``(key, v, base, n)``, all tokens, and the root's norm; ``base`` only of words."""
-    train = docs.where(~held_out(7, 2))
+    train = docs.where(~held_out(7, 2)).select(F.col("text").cast("binary").alias("__text"))
+    hashes = _Hashes()
 
-    def low(place, a, pair):
+    def low(batch):
+        _, place, a, _ = _grams(batch.column("__text").to_pylist(), hashes)
         at = np.flatnonzero(place > 0)
-        return (1, a[at], a[at], a[at]), (2, pair[at], a[at - 1], a[at])
+        return (1, [a[at]]), (2, [a[at - 1], a[at]])
 
-    counted = common.store(_tally(train, low).where((F.col("o") == 1) | (F.col("n") >= least)), "counts")
+    counted = common.store(tally(train, low, least, 2_000_000), "counts")
     common.release(docs.sparkSession)
     words = counted.where("o = 1").select(F.col("x").alias("h"), F.col("n").alias("c"))
     pairs = counted.where("o = 2").select(F.xxhash64("x", "y").alias("key"), "x", "y", "n")
@@ -272,13 +247,14 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
     norm = float(np.log10(total + distinct + 1))
     seen = Bitmap(pairs, "key", 27)
 
-    def high(place, a, pair):
+    def high(batch):
+        _, place, _, pair = _grams(batch.column("__text").to_pylist(), hashes)
         has = seen.has(pair)
         at = np.flatnonzero(place > 1)
         at = at[has[at] & has[at - 1]]
-        return ((3, _key(pair[at - 1], pair[at]), pair[at - 1], pair[at]),)
+        return ((3, [pair[at - 1], pair[at]]),)
 
-    triples = common.store(_tally(train, high).where(F.col("n") >= least).drop("o"), "triples")
+    triples = common.store(tally(train, high, least, 2_000_000).drop("o"), "triples")
     common.release(docs.sparkSession)
     left = lambda given, of: F.greatest(1 - F.coalesce(given, F.lit(0.0)) / F.col(of), F.lit(1e-12))
     given = pairs.groupBy(F.col("x").alias("h")).agg(F.sum(F.col("n") - discount).alias("m"))
@@ -304,56 +280,202 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
     return whole, int(total), norm
 
 
+_KINDS = pa.schema([("s", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_SHARDED = "s int, kind int, chunk bigint, a binary, b binary, c binary"
+_MODEL, _ASK, _ROWS, _SUM = range(4)
+_MOST_ROWS = 1 << 16
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_KINDS)], schema=_KINDS)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _back(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(model: DataFrame, shards: int) -> DataFrame:
+    """The model's rows, dealt to shards: keys, values, and words' counts."""
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            parts.append(tuple(batch.column(n).to_numpy(zero_copy_only=False).copy() for n in ("key", "v", "c")))
+            size += batch.num_rows
+            if size > 500_000:
+                yield dealt(parts)
+                parts, size = [], 0
+        if size:
+            yield dealt(parts)
+        trim()
+
+    def dealt(parts):
+        key, v, c = (np.concatenate(x) for x in zip(*parts))
+        key = key.astype(np.int64).view(np.uint64)
+        order = np.argsort(key)
+        key, v, c = key[order], v[order], c[order].astype(np.int64)
+        cut = np.searchsorted(shard_of(key, shards), np.arange(shards + 1)).tolist()
+        return _batch([(s, _MODEL, -1, pack(key[i:j]), _planes(v[i:j]), _planes(c[i:j])) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
+
+    return model.select("key", "v", F.when(F.col("base").isNull(), 0).otherwise(F.col("n")).alias("c")).mapInArrow(run, _SHARDED)
+
+
+def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int = 2_000_000) -> DataFrame:
+    """For each chunk of texts: what the cache knows of its rows, and the keys it asks the shards for, with the rows they stand in."""
+    key, v, base = cache
+
+    def run(batches):
+        chunk, hashes = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, _Hashes()
+        rows, keys, where, n, held = [], [], [], 0, 0
+        for batch in batches:
+            for some in slices(batch, "__text"):
+                ids = some.column("doc_id")
+                for at in range(0, some.num_rows, _MOST_ROWS // 4):
+                    part = some.slice(at, _MOST_ROWS // 4)
+                    if n + part.num_rows > _MOST_ROWS or held > flush:
+                        yield from sent(chunk, rows, keys, where)
+                        chunk, rows, keys, where, n, held = chunk + 1, [], [], [], 0, 0
+                    known, rest, row = look(part.column("__text").to_pylist(), hashes)
+                    own = ids.slice(at, part.num_rows)
+                    rows.append((own.fill_null(0).to_numpy(zero_copy_only=False), own.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), *known))
+                    keys.append(rest)
+                    where.append((row + n).astype(np.uint16))
+                    n += part.num_rows
+                    held += len(rest)
+        if n:
+            yield from sent(chunk, rows, keys, where)
+        trim()
+
+    def look(texts: list, hashes: _Hashes):
+        row, place, a, pair = _grams(texts, hashes)
+        one, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+        keys = np.concatenate([a[one], pair[one], _key(pair[three - 1], pair[three])])
+        rows, n = np.concatenate([row[one], row[one], row[three]]), len(texts)
+        at = np.minimum(np.searchsorted(key, keys), max(len(key) - 1, 0))
+        hit = key[at] == keys if len(key) else np.zeros(len(keys), bool)
+        found, inside = at[hit], rows[hit]
+        word = ~np.isnan(base[found])
+        known = (
+            np.bincount(row[one], minlength=n), np.bincount(inside[word], minlength=n),
+            np.bincount(inside[word], base[found][word], n), np.bincount(inside, v[found], n),
+        )
+        rest = np.flatnonzero(~hit & seen.has(keys))
+        return known, keys[rest], rows[rest]
+
+    def sent(chunk, rows, keys, where):
+        keys, where = np.concatenate(keys), np.concatenate(where)
+        order = np.argsort(keys, kind="stable")
+        keys, where = keys[order], where[order]
+        new = np.append(runs(keys), len(keys))
+        cut = np.searchsorted(shard_of(keys[new[:-1]], shards), np.arange(shards + 1)).tolist()
+        of = b"".join(_planes(np.concatenate(c).astype(k)) for c, k in zip(zip(*rows), ("i8", "i8", "i8", "i8", "f8", "f8")))
+        out = [(hash(chunk) % shards, _ROWS, chunk, of, None, None)]
+        for s, (i, j) in enumerate(zip(cut, cut[1:])):
+            if j > i:
+                out.append((s, _ASK, chunk, pack(keys[new[i:j]]), _planes(np.diff(new[i : j + 1]).astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)), _planes(where[new[i] : new[j]])))
+        yield _batch(out)
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(run, _SHARDED)
+
+
+def _answered(dealt: DataFrame) -> DataFrame:
+    """A partition's part of the model answers its chunks in turn, with a sum for each row."""
+
+    def run(batches):
+        model, parts, chunk, sums = None, [], None, None
+        for batch in batches:
+            for kind, c, a, b, w in zip(*(batch.column(n).to_pylist() for n in ("kind", "chunk", "a", "b", "c"))):
+                if kind == _MODEL:
+                    parts.append((unpack(a), _back(b, "f8"), _back(w, "i8")))
+                elif kind == _ROWS:
+                    yield _batch([(0, _ROWS, c, a, None, None)])
+                elif parts or model is not None:
+                    if model is None:
+                        model, parts = joined(parts), []
+                    if c != chunk:
+                        if chunk is not None:
+                            yield told(chunk, sums)
+                        chunk, sums = c, (np.zeros(_MOST_ROWS), np.zeros(_MOST_ROWS), np.zeros(_MOST_ROWS, np.int64))
+                    add(sums, model, unpack(a), b, _back(w, "u2"))
+        if chunk is not None:
+            yield told(chunk, sums)
+        trim()
+
+    def joined(parts):
+        key, v, c = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(key)
+        return key[order], v[order], c[order]
+
+    def add(sums, model, keys, times, rows):
+        key, v, c = model
+        times = _back(times, "u2" if len(times) == 2 * len(keys) else "u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+        hit = np.repeat(key[at] == keys, times)
+        at, rows = np.repeat(at, times)[hit], rows[hit]
+        sums[0][:] += np.bincount(rows, v[at], _MOST_ROWS)
+        word = c[at] > 0
+        sums[1][:] += np.bincount(rows[word], np.log10(c[at][word] + 1.0), _MOST_ROWS)
+        sums[2][:] += np.bincount(rows[word], minlength=_MOST_ROWS)
+
+    def told(chunk, sums):
+        one, two = np.flatnonzero(sums[0]), np.flatnonzero(sums[2])
+        first = _planes(one.astype(np.uint16)) + _planes(sums[0][one])
+        return _batch([(0, _SUM, chunk, first, _planes(two.astype(np.uint16)) + _planes(sums[1][two]), _planes(sums[2][two].astype(np.uint16)))])
+
+    return dealt.repartition("s").sortWithinPartitions("kind", "chunk").mapInArrow(run, _SHARDED)
+
+
+def _summed(answers: DataFrame) -> DataFrame:
+    """One row for each text of a chunk."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64())])
+
+    def run(batches):
+        now, own, sums = None, None, []
+        for batch in batches:
+            for kind, chunk, a, b, c in zip(*(batch.column(n).to_pylist() for n in ("kind", "chunk", "a", "b", "c"))):
+                if chunk != now:
+                    if own is not None:
+                        yield out(own, sums)
+                    now, own, sums = chunk, None, []
+                if kind == _ROWS:
+                    own = a
+                else:
+                    sums.append((a, b, c))
+        if own is not None:
+            yield out(own, sums)
+
+    def out(own, sums):
+        n = len(own) // 48
+        ids, valid, size, known, base, v = (_back(own[8 * n * k : 8 * n * (k + 1)], t) for k, t in enumerate(("i8", "i8", "i8", "i8", "f8", "f8")))
+        for a, b, c in sums:
+            k = len(a) // 10
+            v[_back(a[: 2 * k], "u2")] += _back(a[2 * k :], "f8")
+            k = len(b) // 10
+            rows = _back(b[: 2 * k], "u2")
+            base[rows] += _back(b[2 * k :], "f8")
+            known[rows] += _back(c, "u2")
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), *map(pa.array, (size, known, base, v))], schema=schema)
+
+    return answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, v double")
+
+
 def score(docs: DataFrame, size: int = 200_000, least: int = 2) -> DataFrame:
     """The contract's columns, one row per input row."""
     model, total, norm = table(docs, least)
-    often = max(1, -(-total // size))
+    often, shards = max(1, -(-total // size)), shard_count(docs.sparkSession)
     cache = model.where(F.col("n") >= often).select("key", "v", "base").toArrow()
     key = cache.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    key, v, base = key[order], cache.column("v").to_numpy()[order], cache.column("base").to_numpy()[order].astype(float)
+    held = key[order], cache.column("v").to_numpy()[order], cache.column("base").to_numpy()[order].astype(float)
     model = model.where(F.col("n") < often)
-    seen = Bitmap(model, "key", 27)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64()), ("rest", pa.list_(pa.int64()))])
-
-    def run(batches):
-        at_row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        hashes = _Hashes()
-        for batch in batches:
-            ids, done = batch.column("doc_id"), 0
-            for texts in _chunks(batch.column("__text").to_pylist()):
-                row, place, a, pair = _grams(texts, hashes)
-                one, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
-                keys = np.concatenate([a[one], pair[one], _key(pair[three - 1], pair[three])])
-                rows, n = np.concatenate([row[one], row[one], row[three]]), len(texts)
-                if len(key):
-                    at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-                    hit = key[at] == keys
-                else:
-                    at, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-                in_row, found = rows[hit], at[hit]
-                known = ~np.isnan(base[found])
-                rest = np.flatnonzero(~hit & seen.has(keys))
-                rest = rest[np.argsort(rows[rest], kind="stable")]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(rows[rest], minlength=n))])
-                cols = [
-                    np.arange(at_row, at_row + n), ids.slice(done, n), np.bincount(row[one], minlength=n), np.bincount(in_row[known], minlength=n),
-                    np.bincount(in_row[known], base[found][known], n), np.bincount(in_row, v[found], n),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[rest].view(np.int64))),
-                ]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-                at_row += n
-                done += n
-
-    scored = docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, v double, rest array<bigint>")
-    scored = common.store(scored, "walked")
-    found = scored.select("row", F.explode("rest").alias("key")).join(model.select("key", "v", "base"), "key")
-    sums = found.groupBy("row").agg(F.sum("v").alias("more"), F.sum("base").alias("more_base"), F.count("base").alias("more_known"))
-    whole = scored.drop("rest").join(sums, "row", "left")
+    seen = Bitmap(model.select("key"), "key", 27)
+    scored = _summed(_answered(_packed(model, shards).unionByName(_asked(docs, held, seen, shards))))
     less = F.col("n_tokens") * norm
-    return whole.select(
-        "doc_id", held_out(7, 2).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) - less).alias("base_score"), (F.col("v") + F.coalesce("more", F.lit(0.0)) - less).alias("score"),
+    return scored.select(
+        "doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - less).alias("base_score"), (F.col("v") - less).alias("score"),
     )
