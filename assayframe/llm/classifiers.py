@@ -4,7 +4,7 @@ Both learn on a bounded sample of rows (``sample``, a documented parameter; rows
 hash of doc_id, so any cluster picks the same), and score every row in one pass over whole texts.
 A null text counts as empty; empty texts get a score like any other. Rows whose doc_id is null are
 scored, but never learned from. Repeated rows and further columns of the input do no harm. Without
-any labelled row of a kind the score is the prior (quality) or zero (toxicity).
+any labelled row of a kind the score is one half (quality) or zero (toxicity).
 """
 
 from __future__ import annotations
@@ -72,7 +72,24 @@ def shapes(docs: DataFrame) -> DataFrame:
     )
 
 
-PRUDENCE = 0.975
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 2.0) -> float:
+    """Share of good texts among the unlabelled, from trusted positives and unlabelled text alone.
+
+    A model tells half of the one from half of the other. Above any threshold on the other halves' scores
+    lies at most prior times the positives' share of the unlabelled, and just that where no bad text
+    scores so high; so the smallest ratio of the two shares is the estimate. It is a low one, by ``sure`` standard
+    errors of each share: too high a prior lets bad texts pass as good, one slightly too low costs little.
+    Thresholds that leave few positives are not looked at.
+    """
+    model = PositiveUnlabelled(positive[::2], unlabelled[::2], 0.5, rounds=300)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    if len(p) < 20 or len(u) < 20:
+        return 0.5
+    t = np.quantile(p, np.linspace(0, 0.5, 101))
+    above = lambda x: 1 - np.searchsorted(x, t, "left") / len(x)
+    fp, fu = above(p), above(u)
+    error = lambda f, n: sure * np.sqrt(f * (1 - f) / n)
+    return float(np.clip(((fu - error(fu, len(u))) / (fp + error(fp, len(p)))).min(), 0.05, 0.95))
 
 
 class PositiveUnlabelled:
@@ -116,22 +133,19 @@ class PositiveUnlabelled:
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> PositiveUnlabelled | float:
     """Learn from at most ``sample`` trusted positives and twice as many unlabelled rows.
 
-    The class prior is the share of label 1 among all labelled training rows, times PRUDENCE: a prior
-    that is too high lets bad texts pass as good, one slightly too low costs nothing.
+    The labels' negatives are not looked at; the class prior is :func:`class_prior`'s.
     """
     train = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n, share = train.agg(F.count("*"), F.avg(F.col("quality").cast("double"))).first()
-    prior = min(max(PRUDENCE * share if n else 0.5, 0.05), 0.95)
     good = bounded(train.where("quality = 1"), sample).select("doc_id", F.lit(1).alias("kind"))
     web = bounded(docs.where("doc_id is not null").where(~held_out()).select("doc_id").distinct(), 2 * sample).select("doc_id", F.lit(0).alias("kind"))
     picked = good.unionByName(web).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
     rows = shapes(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(picked), "doc_id").collect()
     if not rows:
-        return prior
+        return 0.5
     x = np.array([r.x for r in rows], float)
     kinds = [set(r.kinds) for r in rows]
     pos, web = np.array([1 in k for k in kinds], bool), np.array([0 in k for k in kinds], bool)
-    return PositiveUnlabelled(x[pos], x[web], prior) if pos.any() and web.any() else prior
+    return PositiveUnlabelled(x[pos], x[web], class_prior(x[pos], x[web])) if pos.any() and web.any() else 0.5
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataFrame:
@@ -173,34 +187,49 @@ _PLAIN = str.maketrans("013457@$!", "oieastasi")
 #: Words that address the reader, in the languages of the corpus (fixed values).
 YOU = frozenset("you your yours yourself tu te toi vous votre vos du dich dir dein deine ihr euch usted ustedes ti tus vosotros".split())
 _STEMS = (4, 5, 6)
+_FOLDS = 6
 
 
 def _keys(token: str) -> list[str]:
     return [token] + [token[:k] + "*" for k in _STEMS if len(token) > k]
 
 
-def learn_lexicon(labelled: DataFrame, least: int = 4, odds: float = 3.0, most: int = 5000) -> dict[str, float]:
+def learn_lexicon(labelled: DataFrame, folds: int = 1, least: int = 4, odds: float = 3.0, most: int = 5000) -> list[dict[str, float]]:
     """Words and stems (4 to 6 letters, marked ``*``) with their log odds of standing in a toxic text.
 
-    ``labelled(text, toxic)`` is counted on the executors; at most ``most`` entries come back.
+    The first lexicon is learned from all of ``labelled(text, toxic, fold)``, the others without one fold
+    each. Texts are counted on the executors; at most ``most`` entries come back, the most frequent in toxic texts.
     """
 
     def run(cols: dict, texts: list) -> dict:
-        out: dict[str, list] = {"k": [], "toxic": []}
-        for t, y in zip(texts, cols["toxic"]):
+        out: dict[str, list] = {"k": [], "toxic": [], "fold": []}
+        for t, y, f in zip(texts, cols["toxic"], cols["fold"]):
             got = {k for w in set(_TOKEN.findall((t or b"").decode("utf-8", "replace").lower())) for k in _keys(w)}
             out["k"] += got
             out["toxic"] += [y] * len(got)
+            out["fold"] += [f] * len(got)
         return out
 
-    seen = common.map_text(labelled, ["toxic"], run, "k string, toxic int")
-    counts = seen.groupBy("k").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    pos, n = labelled.agg(F.sum("toxic"), F.count("*")).first()
-    if not pos or pos == n:
-        return {}
-    score = F.log((F.col("t") + 0.5) / (pos + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (n - pos + 1.0))
-    rows = counts.where(F.col("t") >= least).withColumn("w", score).where(F.col("w") >= odds)
-    return {r.k: r.w for r in rows.orderBy(F.desc("w"), "k").limit(most).collect()}
+    seen = common.map_text(labelled, ["toxic", "fold"], run, "k string, toxic int, fold bigint")
+    part = lambda c: [F.sum(F.when(F.col("fold") == f, c).otherwise(0)).alias(f"x{f}") for f in range(folds)]
+    counts = seen.groupBy("k").agg(F.sum("toxic").alias("t"), F.array(*part(F.col("toxic"))).alias("ts"), F.array(*part(F.lit(1))).alias("ns"))
+    rows = counts.where(F.col("t") >= least).where("log((t + 0.5D) / (aggregate(ns, 0L, (a, x) -> a + x) - t + 0.5D)) > -6").orderBy(F.desc("t"), "k").limit(most * 8).collect()
+    sizes = {r.fold: (r.p, r.n) for r in labelled.groupBy("fold").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect()}
+
+    def one(without: int | None) -> dict[str, float]:
+        used = [f for f in range(folds) if f != without]
+        pos, n = (sum(sizes.get(f, (0, 0))[k] for f in used) for k in (0, 1))
+        if not pos or pos == n:
+            return {}
+        out = {}
+        for r in rows:
+            t, all_ = sum(r.ts[f] for f in used), sum(r.ns[f] for f in used)
+            w = float(np.log((t + 0.5) / (pos + 1.0)) - np.log((all_ - t + 0.5) / (n - pos + 1.0)))
+            if t >= least and w >= odds:
+                out[r.k] = w
+        return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:most])
+
+    return [one(None), *([one(f) for f in range(folds)] if folds > 1 else [])]
 
 
 class Words(dict):
@@ -219,7 +248,8 @@ class Words(dict):
 def manners(text: bytes | None, words: Words) -> list[float]:
     """Dense features: lexicon densities, second person near a hit, capitals, punctuation, obfuscation."""
     raw = (text or b"").decode("utf-8", "replace")
-    tokens = _TOKEN.findall(raw.lower())
+    low = raw.lower()
+    tokens = _TOKEN.findall(low)
     n = max(len(tokens), 1)
     weights = np.fromiter(map(words.__getitem__, tokens), float, len(tokens))
     hits = np.flatnonzero(weights)
@@ -242,7 +272,7 @@ def manners(text: bytes | None, words: Words) -> list[float]:
         len({tokens[i] for i in hits.tolist()}) if len(hits) else 0.0,
         near / n,
         float(near),
-        sum(map(str.isupper, raw)) / letters if len(hits) or n < 50 else 0.0,
+        _capitals(raw, low) / letters,
         raw.count("!") / n,
         (raw.count("?") + raw.count(",") + raw.count(".")) / n,
         len(masked) / n,
@@ -251,6 +281,14 @@ def manners(text: bytes | None, words: Words) -> list[float]:
     ]
 
 
+def _capitals(raw: str, low: str) -> int:
+    """Letters that lower case changes, of the whole text."""
+    if len(raw) != len(low):
+        return sum(c != c.lower() for c in raw)
+    a, b = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (raw, low))
+    return int(np.count_nonzero(a != b))
+
+
 def _around(raw: str, m: re.Match) -> str:
     """The word that a masked spot stands in, with look-alikes turned to letters."""
     a, b = m.start(), m.end()
@@ -347,27 +385,27 @@ class Toxicity:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 24_000) -> Toxicity | None:
-    """Learn from at most ``sample`` labelled rows: half give the lexicon, a third the trees, the rest the calibration.
+    """Learn from at most ``sample`` labelled rows, in folds: features of a row come from a lexicon learned without its fold.
 
-    The parts are disjoint, so neither trees nor calibration see a lexicon made from their own rows.
+    Five folds give the trees, the sixth the calibration; the model's own lexicon is learned from all.
     """
     train = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    picked = bounded(train, sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(6)))
-    rows = common.store(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "part"), "toxic")
-    lexicon = learn_lexicon(rows.where("part < 3"))
-    words = Words(lexicon)
+    picked = bounded(train, sample).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(_FOLDS)))
+    rows = common.store(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "fold"), "toxic")
+    whole, *others = learn_lexicon(rows, _FOLDS)
+    words = [Words(x) for x in others]
 
     def run(cols: dict, texts: list) -> dict:
-        return {**cols, "x": [manners(t, words) for t in texts]}
+        return {**cols, "x": [manners(t, words[f]) for t, f in zip(texts, cols["fold"])]}
 
-    got = common.map_text(rows.where("part >= 3"), ["toxic", "part"], run, "toxic int, part bigint, x array<double>").orderBy("part", "toxic", "x").collect()
+    got = common.map_text(rows, ["toxic", "fold"], run, "toxic int, fold bigint, x array<double>").orderBy("fold", "toxic", "x").collect()
     common.drop(rows)
-    x, y, part = np.array([r.x for r in got], float), np.array([r.toxic for r in got], float), np.array([r.part for r in got])
-    fit, tune = (part < 5) if len(got) else part, (part == 5) if len(got) else part
-    if not len(got) or not fit.any() or not tune.any() or len(set(y[fit])) < 2:
+    x, y, fold = np.array([r.x for r in got], float), np.array([r.toxic for r in got], float), np.array([r.fold for r in got])
+    tune = fold == _FOLDS - 1 if len(got) else fold
+    if not len(got) or not tune.any() or tune.all() or len(set(y[~tune])) < 2:
         return None
-    trees = Boosted(x[fit], y[fit])
-    return Toxicity(lexicon, trees, Isotonic(trees.margin(x[tune]), y[tune]))
+    trees = Boosted(x[~tune], y[~tune])
+    return Toxicity(whole, trees, Isotonic(trees.margin(x[tune]), y[tune]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 24_000) -> DataFrame:
