@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -9,56 +10,129 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions import text as T
 
 SCHEMA = "report_id string, pos int, name string, value_text string, unit string, ref_text string, source string"
 # Header words of report tables, by role.
 ROLES = {
     "name": ("項目", "檢驗項目", "檢查項目", "名稱", "item", "test", "test name", "name"),
-    "value": ("結果", "檢驗結果", "檢查結果", "數值", "本次結果", "result", "value", "results"),
+    "value": ("結果", "檢驗值", "測定值", "檢查值", "檢驗結果", "檢查結果", "數值", "本次結果", "result", "value", "results"),
     "unit": ("單位", "unit", "units"),
-    "ref": ("參考值", "參考範圍", "正常值", "參考區間", "reference", "reference range", "range", "normal"),
-    "flag": ("異常", "判定", "註記", "flag", "h/l"),
+    "ref": ("參考值", "參考範圍", "正常值", "參考區間", "參考標準", "標準值", "正常範圍", "ref", "reference", "reference range", "range", "normal"),
+    "flag": ("異常", "備註", "標記", "判讀", "異常標記", "結果判定", "判定", "註記", "flag", "h/l"),
     "index": ("序號", "no", "no.", "編號"),
     "category": ("類別", "分類", "category"),
 }
 _ROLE = {w: r for r, ws in ROLES.items() for w in ws}
-_VALUE = r"(?:<=|>=|≦|≧|<|>)?\s*[-+]?\d+(?:,\d{3})*(?:\.\d+)?(?:\s*\(\s*[1-4]\+\s*\))?|[1-4]\+|\+{1,4}|\+/-|±|陰性|陽性|negative|positive|trace"
-_CELL_VALUE = re.compile(rf"^\**\s*(?:{_VALUE}|\(-\)|-)\s*%?\s*(?:H|L|HH|LL|↑|↓|\*)?$", re.I)
-_REF = r"(?:參考值|正常值|參考範圍)?\s*[:：]?\s*(\((?:[^()]|\([^()]*\))*\)|(?<=參考值)\s*[-\d.]+\s*[~～\-]\s*[\d.]+|(?<=參考值 )[-\d.]+\s*[~～\-]\s*[\d.]+)"
-_UNIT = r"(?:[A-Za-zμµ%°][A-Za-zμµ%°/^\d.\-]*(?:/[A-Za-z\d.]+)*|10\^\d/[A-Za-zμ]+|%)"
-_LINE = re.compile(
-    rf"(?P<name>[^\s\d(（<>≦≧:：][^:：<>≦≧()（）]*?(?:\[[^\]]*\])?(?:[（(][^()（）\d]*[)）])?)\s*[:：]?\s+(?P<value>{_VALUE})(?P<flag>\s*[↑↓*]|\s+(?:HH|LL|H|L)(?=\s|$))?"
-    rf"(?:\s+(?P<unit>(?!參考|[\(（]){_UNIT}))?\s*(?P<ref>{_REF})?",
-    re.I,
-)
-_BP = re.compile(r"(?:血壓|blood pressure|\bBP\b)\D{0,12}?(\d{2,3})\s*/\s*(\d{2,3})(?:\s*(mm-?Hg))?", re.I)
-_SKIP = re.compile(r"\d{2,4}[/.年-]\d{1,2}[/.月-]\d{1,2}|\d{1,2}:\d{2}|電話|地址|身分證|病歷|生日|出生|頁")
+_NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?"
+_GRADE = r"\(\s*[1-4]\+\s*\)"
+_SIGN = r"(?:<=|>=|≦|≧|≤|≥|<|>)"
+_WORDS = r"陰性|陽性|微量|negative|positive|trace|non-?reactive|reactive|neg\b|pos\b"
+_VALUE = rf"{_SIGN}?\s*{_NUMBER}\s*{_GRADE}|[1-4]\+(?![\d+])|{_SIGN}?\s*{_NUMBER}|{_WORDS}|\+/-|±|{_GRADE}|\+{{1,4}}|\(-\)|-(?=\s|$|\()"
+_CELL_VALUE = re.compile(rf"^\**\s*(?:{_VALUE})\s*%?\s*(?:H|L|HH|LL|↑|↓|\*)?$", re.I)
+_FLAG = r"\s*(?:[↑↓]+|\*+)|\s+(?:HH|LL|H|L)(?![A-Za-z0-9])"
+_UNIT = r"\s*(?:(?:x?10\^?\d+|\^\d+)\s*/\s*[uμm]?l|[a-zμ%°/][a-zμ%°/.^\d\-]*|次/分|公分|公斤)"
+# one result: what may stand before a value, the value, and after it flags, unit and range
+_RESULT = re.compile(rf"(?:^|(?<=[ =])|(?<=[^\d]:))(?P<value>{_VALUE})(?![~/\-:]\d)(?P<flag>{_FLAG})?", re.I)
+_REST = re.compile(rf"(?P<unit>{_UNIT})(?P<flag>{_FLAG})?", re.I)
+_LABEL = re.compile(r"\s*(?P<label>參考值|參考範圍|正常值)?\s*[:：]?\s*")
+_RANGE = re.compile(rf"{_SIGN}\s*{_NUMBER}|{_NUMBER}\s*[~\-–—]\s*{_NUMBER}|-~-\s*(?:\(\+/-\))?")
+_PRESSURE = re.compile(r"(?:血壓|b\.?\s*p\.?|blood\s*pressure|收縮壓\s*/\s*舒張壓|sbp\s*/\s*dbp)\s*:?\s*(?:\([^)]*\))?\s*:?\s*(\d{2,3})\s*/\s*(\d{2,3})(?!\d)(?:\s*(mm[-~]?Hg))?", re.I)
+_BEFORE_NAME = re.compile(r"^[\s*•·※\-–>)\]●◎]*(?:\(?\d{1,2}[.、)]\s*(?=\D))?")
+_AFTER_NAME = re.compile(r"[\s:=]*(?:參考值|參考範圍)?[\s:=]*$")
+_UNITS = frozenset(T.UNITS) | {"次/分", "公分", "公斤"}
 
 
 def _plain(s: object) -> str:
     return re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", str(s or ""))).strip()
 
 
+def is_unit(s: str) -> bool:
+    """A known unit, or one that is built like a concentration or a count."""
+    k = s.strip().lower().replace("μ", "u").replace("µ", "u").replace(" ", "")
+    return k in _UNITS or bool(re.fullmatch(r"(?:x?10)?\^\d+/[um]?l", k) or re.fullmatch(r"[a-z%]{1,5}(?:/[a-z\d.]{1,6})+", k))
+
+
+def _range_at(s: str, at: int) -> tuple[str, int]:
+    """The range that begins at ``at``, with an own unit, and its end: a bracket with all that it holds, or bare bounds."""
+    if s[at : at + 1] == "(":
+        depth = 0
+        for i in range(at, len(s)):
+            depth += {"(": 1, ")": -1}.get(s[i], 0)
+            if not depth:
+                return s[at : i + 1], i + 1
+        return s[at:], len(s)
+    m = _RANGE.match(s, at)
+    if not m:
+        return "", at
+    unit = re.compile(_UNIT, re.I).match(s, m.end())
+    return (f"{m[0]} {unit[0].strip()}", unit.end()) if unit and is_unit(unit[0]) else (m[0], m.end())
+
+
+def item_name(raw: str) -> str:
+    """A printed name without list marks, numbering and labels; empty if it is no name."""
+    name = _AFTER_NAME.sub("", _BEFORE_NAME.sub("", _plain(raw))).strip(" :=")
+    return name if len(name) <= 80 and re.search(r"[A-Za-z㐀-鿿]", name) else ""
+
+
 def from_line(line: str) -> list[tuple[str, str, str, str]]:
-    """``(name, value, unit, range)`` of one line of text; blood pressure gives two."""
-    line = _plain(line)
-    if not line or len(line) > 400 or _SKIP.search(line):
-        return []
-    m = _BP.search(line)
-    if m:
-        return [("收縮壓", m[1], m[3] or "mmHg", ""), ("舒張壓", m[2], m[3] or "mmHg", "")]
-    out = []
-    for m in _LINE.finditer(line):
-        name = re.sub(r"^[*＊●•◎]+\s*|^\d+[.、)]\s*", "", m["name"]).strip(" :：*")
-        if len(name) <= 80 and re.search(r"[A-Za-z㐀-鿿]", name):
-            ref = re.sub(r"^(?:參考值|正常值|參考範圍)\s*[:：]?\s*", "", m["ref"] or "")
-            out.append((name, m["value"].strip() + (" " + m["flag"].strip() if m["flag"] else ""), m["unit"] or "", ref))
+    """``(name, value, unit, range)`` of one line of text, left to right; blood pressure gives two.
+
+    A name is what stands between the result before it and its own value. Lines of over 400 characters are
+    prose, not results.
+    """
+    s, out = _plain(line), []
+    if len(s) > 400:
+        return out
+    for m in list(_PRESSURE.finditer(s)):
+        out += [("收縮壓", m[1], m[3] or "mmHg", ""), ("舒張壓", m[2], m[3] or "mmHg", "")]
+        s = s[: m.start()] + " " * len(m[0]) + s[m.end() :]
+    done = at = 0
+    while m := _RESULT.search(s, at):
+        end, flag, unit = m.end(), (m["flag"] or "").strip(), ""
+        rest = _REST.match(s, end)
+        if rest and is_unit(rest["unit"]):
+            unit, end = rest["unit"].strip(), rest.end("unit")
+            if rest["flag"] and not flag:
+                flag, end = rest["flag"].strip(), rest.end()
+        if end == m.end("value") and s[end : end + 1] not in ("", " ", "(", "（"):
+            at = m.start() + 1
+            continue
+        label = _LABEL.match(s, end)
+        ref, to = _range_at(s, label.end())
+        name = item_name(s[done : m.start()])
+        if name:
+            out.append((name, m["value"].strip() + (f" {flag}" if flag else ""), unit, ref))
+        done = at = max(to if ref else label.end() if label["label"] else end, m.start() + 1)
     return out
 
 
+def _role(cell: str) -> str | None:
+    """By the whole word, else by a part of a short one."""
+    if cell in _ROLE or not cell:
+        return _ROLE.get(cell)
+    if "結果" in cell and len(cell) <= 12:
+        return "value"
+    return "ref" if ("參考" in cell or "正常值" in cell) and len(cell) <= 8 else None
+
+
+def joined(cell: object, name: bool = False) -> str:
+    """A cell of several lines as one: what a column border cut from a word, or a grade from its number, is put back."""
+    parts = [p.strip() for p in str(cell or "").split("\n") if p.strip()]
+    if not name:
+        return _plain(("" if any(re.fullmatch(r"[+)(\d]+\)?\s*[HL]?", p) for p in parts[1:]) else " ").join(parts))
+    out = ""
+    for p in parts:
+        tight = not out or (len(p) <= 2 and out[-1].isalpha() and p[0].isalpha())
+        out += p if tight else " " + p
+    return _plain(out)
+
+
 def roles(cells: list[str]) -> list[str | None] | None:
     """The columns' roles, if this row is a header: two roles or more, one of them the name, no number."""
-    got = [_ROLE.get(re.sub(r"\s+", " ", c).strip().lower()) for c in cells]
+    got = [_role(re.sub(r"\s+", " ", c).strip().lower()) for c in cells]
     known = [r for r in got if r]
     return got if len(known) >= 2 and "name" in known and not any(re.fullmatch(r"[-+]?\d+(?:\.\d+)?", c) for c in cells) else None
 
@@ -67,7 +141,8 @@ def from_table(table: list[list[str]]) -> list[tuple[str, str, str, str]]:
     """Records of one table. A header's roles hold until the next; items side by side start at each name."""
     out, now = [], None
     for row in table:
-        cells = [_plain(str(c or "").replace("\n", " ")) for c in row]
+        first = next((i for i, c in enumerate(row) if re.search(r"[A-Za-z㐀-鿿]", str(c or ""))), 0)
+        cells = [joined(c, now[i] == "name" if now and i < len(now) else i == first) for i, c in enumerate(row)]
         if not any(cells):
             continue
         head = roles(cells)
@@ -137,13 +212,26 @@ def is_double(rows: Column) -> Column:
     return F.exists(rows, lambda r: F.size(F.filter(r, lambda c: F.trim(c).isin("項目", "檢驗項目"))) >= 2)
 
 
-def clean_ocr(c: Column) -> Column:
-    """Recognised text: entities, spaces inside numbers, middle dots and simplified characters put right."""
-    s = F.translate(c, "项检验结参范围单压胆红尿体脂", "項檢驗結參範圍單壓膽紅尿體脂")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&nbsp;", " ")):
-        s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.regexp_replace(s, r"([0-9])[·・]([0-9])", "$1.$2")
-    return F.regexp_replace(F.regexp_replace(s, r"([0-9]) *\. *([0-9])", "$1.$2"), r"(?<=[0-9]) (?=[0-9]{1,2}(?![0-9]))", "")
+# Simplified characters of recognised reports, each followed by the traditional one.
+SIMPLIFIED = (
+    "参參 检檢 项項 结結 单單 红紅 验驗 围圍 标標 记記 类類 组組 别別 总總 压壓 缩縮 体體 岁歲 质質 细細 数數 计計 胆膽 肾腎 离離 转轉 碱鹼 钙鈣 钾鉀 钠鈉 铁鐵 镁鎂 维維 杂雜 "
+    "范範 尿尿 脂脂"
+).split()
+_TRADITIONAL = str.maketrans({pair[0]: pair[1] for pair in SIMPLIFIED})
+_DOT = r"[·•・‧∙]"
+_SPACED = re.compile(r"(?<![\w.])\d(?: [\d.·•・‧∙])+(?![\w.])")
+
+
+def ocr_text(s: str) -> str:
+    """Recognised text put right: entities, simplified characters, digits that stand one by one, middle dots between digits."""
+    s = _SPACED.sub(lambda m: m[0].replace(" ", ""), html.unescape(s).translate(_TRADITIONAL))
+    return re.sub(rf"(?<=\d)\s*{_DOT}\s*(?=\d)", ".", s)
+
+
+@F.pandas_udf(StringType())
+def clean_ocr(s: pd.Series) -> pd.Series:
+    """:func:`ocr_text` of a column (a replacement that looks into its match is no built-in)."""
+    return s.map(lambda x: None if x is None else ocr_text(x))
 
 
 def outside_tables(c: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def prf(counts: DataFrame, by: str = "category") -> DataFrame:
     """``counts(category, tp, fp, fn)`` summed per category and over all (null category), with precision, recall and F1."""
@@ -70,8 +72,87 @@ def missing(required: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def spread(rows: DataFrame, n: int, order: str) -> DataFrame:
-    """``n`` rows evenly spread over the order; all of them if there are no more."""
-    w = Window.orderBy(order)
-    total = rows.count()
-    x = rows.withColumn("__i", F.row_number().over(w) - 1)
-    return x.where(F.floor((F.col("__i") + 1) * n / F.lit(max(total, 1))) > F.floor(F.col("__i") * n / F.lit(max(total, 1)))).drop("__i")
+    """``n`` rows evenly spread over the order; all of them if there are no more.
+
+    Rows are dealt to ranges of the order and counted there, so no task holds more than a range.
+    """
+    x = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    sizes = x.groupBy("__p").agg(F.count("*").alias("k"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__p") <= F.col("a.__p")).groupBy("a.__p").agg((F.sum("b.k") - F.first("a.k")).alias("__before"))
+    w = Window.partitionBy("__p").orderBy(order)
+    x = x.withColumn("__r", F.row_number().over(w) - 1).join(before, "__p").withColumn("__i", F.col("__before") + F.col("__r"))
+    x = x.withColumn("__total", sizes.agg(F.greatest(F.sum("k"), F.lit(1))).scalar())
+    return x.where(F.floor((F.col("__i") + 1) * n / F.col("__total")) > F.floor(F.col("__i") * n / F.col("__total"))).select(*rows.columns)
+
+
+def timings(rows: DataFrame) -> DataFrame:
+    """Seconds of each stage, summed over a run's passes and branches."""
+    return rows.groupBy("report_id", "stage").agg(F.round(F.sum("seconds"), 3).alias("seconds"))
+
+
+def dataset_stats(samples: DataFrame, by: str) -> DataFrame:
+    """Counts, spread of values and prevalence of abnormal results, per ``by``."""
+    abnormal = F.col("status").isin("high", "low", "positive")
+    return samples.groupBy(by).agg(
+        F.count("*").alias("n"), F.countDistinct("report_id").alias("reports"), F.min("value_num").alias("least"), F.max("value_num").alias("most"),
+        F.round(F.avg("value_num"), 6).alias("mean"), F.round(F.count_if(abnormal) / F.count("*"), 6).alias("prevalence"),
+    )
+
+
+def scan_summary(text_run: DataFrame, scan_run: DataFrame, pages: DataFrame) -> DataFrame:
+    """Recognised scans against the text layer, per level: ``(report_id, item, value)`` and ``(level, report_id, item, value)``.
+
+    ``pages(level, report_id, seconds, pages)`` has a row for each scanned report; one without a scan row lost all its items.
+    """
+    want = pages.select("level", "report_id").join(text_run.select("report_id", "item", F.col("value").alias("want")), "report_id")
+    x = want.join(scan_run, ["level", "report_id", "item"], "left")
+    misread = F.col("value").isNotNull() & (F.col("value") != F.col("want"))
+    read = x.groupBy("level").agg(
+        F.count("*").alias("items"), F.count_if(F.col("value") == F.col("want")).alias("exact"), F.count_if(misread).alias("misread"), F.count_if(F.col("value").isNull()).alias("missing")
+    )
+    paced = pages.groupBy("level").agg(F.count("*").alias("reports"), F.round(F.median(F.col("seconds") / F.col("pages")), 6).alias("seconds_a_page"))
+    return paced.join(read, "level", "left").withColumn("value_accuracy", F.round(F.col("exact") / F.greatest(F.col("items"), F.lit(1)), 6))
+
+
+def most_misread(text_run: DataFrame, scan_run: DataFrame, n: int = 8) -> DataFrame:
+    """The items that scans misread most, per level."""
+    x = scan_run.join(text_run.select("report_id", "item", F.col("value").alias("want")), ["report_id", "item"]).where("value <> want")
+    counted = x.groupBy("level", "item").agg(F.count("*").alias("n"))
+    return counted.withColumn("rank", F.row_number().over(Window.partitionBy("level").orderBy(F.desc("n"), "item"))).where(F.col("rank") <= n)
+
+
+def set_cover(facets: DataFrame, must: list[str], k: int = 10, most: int = 10_000) -> tuple[list[str], list[str]]:
+    """``k`` samples that cover facets of ``facets(sample_id, facet)`` greedily, required ones ten times as dear; and the required ones left open.
+
+    Each choice depends on the last, so the table is collected; ``most`` is its stated bound and is checked.
+    """
+    rows = facets.groupBy("sample_id").agg(F.sort_array(F.collect_set("facet")).alias("f")).orderBy("sample_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} samples; choose among fewer")
+    held, needed, covered, chosen = {r.sample_id: set(r.f) for r in rows}, set(must), set(), []
+    while len(chosen) < min(k, len(held)):
+        best = max((s for s in held if s not in chosen), key=lambda s: 10 * len((held[s] & needed) - covered) + len(held[s] - covered))
+        chosen.append(best)
+        covered |= held[best]
+    return sorted(chosen), sorted(needed - covered)
+
+
+def same_value(pred: Column, gold: Column, pred_text: Column, gold_text: Column) -> Column:
+    """Whether two results agree: as numbers within a millionth, else as texts without blanks and case."""
+    plain = lambda c: F.lower(F.regexp_replace(T.fold(c), r"\s+", ""))
+    return F.coalesce(F.abs(pred - gold) <= 1e-6, plain(pred_text) == plain(gold_text), F.lit(False))
+
+
+def faults(items: DataFrame) -> DataFrame:
+    """``(item, fault)`` of a catalogue ``(item, zh, unit, lo, hi)``: repeated keys, no name, bounds the wrong way round."""
+    twice = items.groupBy("item").count().where("count > 1").select("item", F.lit("repeated key").alias("fault"))
+    tests = [(F.coalesce(F.trim("zh"), F.lit("")) == "", "no name"), (F.col("lo") > F.col("hi"), "bounds the wrong way round"), ((F.col("lo").isNotNull() | F.col("hi").isNotNull()) & (F.coalesce("unit", F.lit("")) == ""), "range without unit")]
+    each = items.select("item", F.explode(F.array_compact(F.array(*[F.when(c, t) for c, t in tests]))).alias("fault"))
+    return twice.unionByName(each)
+
+
+def leaked(texts: DataFrame, denied: DataFrame) -> DataFrame:
+    """``(id, term)``: denied terms that stand in texts that are to leave the house, case and width aside."""
+    terms = denied.select(F.lower(T.fold(F.col("term"))).alias("term")).where("term <> ''").distinct()
+    words = texts.select("id", F.lower(T.fold(F.col("text"))).alias("t")).select("id", F.explode(F.array_distinct(F.split("t", r"[^\p{L}\p{N}_@.+-]+"))).alias("term"))
+    return words.join(terms, "term").select("id", "term").distinct()

@@ -72,20 +72,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: top ``k`` documents per query, scores above zero.
 
     Only the queries' terms are counted; statistics are those of the whole corpus. Documents' terms
-    are reduced to the queries' before the shuffle, and the per-query top-k is partial on each side.
+    are reduced to the queries' before the shuffle where these are few enough to be broadcast, which Spark
+    decides by their size; counts and scores share one exchange of the terms.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
     tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
     sized = tokens.select("doc_id", F.size("w").alias("len"), "w")
     total = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = sized.select("doc_id", "len", F.explode("w").alias("term")).join(F.broadcast(terms), "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    tf = sized.select("doc_id", "len", F.explode("w").alias("term")).join(terms, "term").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n, avg = F.col("n"), F.col("avg_len")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg))
-    scored = tf.join(F.broadcast(df), "term").withColumn("n", total.select("n").scalar()).withColumn("avg_len", total.select("avg_len").scalar())
-    scored = scored.select("term", "doc_id", part.alias("part")).join(F.broadcast(asked), "term")
+    scored = tf.join(df, "term").withColumn("n", total.select("n").scalar()).withColumn("avg_len", total.select("avg_len").scalar())
+    scored = scored.select("term", "doc_id", part.alias("part")).join(asked, "term")
     scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return top(scored, "query_id", [F.desc("score"), "doc_id"], k)
 
@@ -95,13 +96,24 @@ def top(scored: DataFrame, by: str, order: list, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``(query_id, rank, vec_id, distance)``: exact cosine top ``k``; the queries are broadcast, the vectors stay."""
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20_000) -> DataFrame:
+    """``(query_id, rank, vec_id, distance)``: exact cosine top ``k`` of a stated query set, held against all rows in blocks.
+
+    Queries are dealt to blocks of about ``block`` rows. Where there is one block, as with any ordinary query
+    set, vectors stay where they are; else each vector meets every block, and top-k is cut per block first.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(F.col(a), F.col(a)))
     q = queries.select("query_id", F.col("embedding").alias("__q"), norm("embedding").alias("__nq"))
     v = vectors.withColumn("__nv", norm("embedding"))
-    pairs = v.join(F.broadcast(q), F.lit(True)).select("query_id", "vec_id", F.round(1 - dot(F.col("embedding"), F.col("__q")) / (F.col("__nv") * F.col("__nq")), 6).alias("distance"))
+    blocks = -(-q.count() // block)
+    if blocks <= 1:
+        met = v.join(F.broadcast(q), F.lit(True))  # at most `block` rows, counted above
+    else:
+        deal = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        met = v.withColumn("__b", every).join(q.withColumn("__b", deal), "__b")
+    pairs = met.select("query_id", "vec_id", F.round(1 - dot(F.col("embedding"), F.col("__q")) / (F.col("__nv") * F.col("__nq")), 6).alias("distance"))
     return top(pairs, "query_id", ["distance", "vec_id"], k)
 
 

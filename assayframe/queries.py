@@ -408,7 +408,7 @@ def verdict_stats(spark, d):
 def extract_records(spark, d):
     """Reports rendered as text from the lab view, and read back by the line scanner."""
     line = F.expr("concat(display, ' ', value_text, if(ref_text = '', '', concat(' (', ref_text, ')')))")
-    x = lab.records(spark, d).where("f not in (0, 1)").groupBy("report_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("text"))
+    x = lab.records(spark, d).groupBy("report_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("text"))
     return extract.records(x.withColumn("tables", F.lit(None).cast("array<array<array<string>>>")))
 
 

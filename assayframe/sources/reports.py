@@ -62,12 +62,14 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def one_csv(df: DataFrame) -> bytes:
-    """One file's bytes, with byte-order mark, streamed row by row; for results that a person opens."""
+def one_csv(df: DataFrame, most: int = 1_000_000) -> bytes:
+    """One file's bytes, with byte-order mark; for results that a person opens. They are held on the driver, so ``most`` rows are checked."""
     out = io.StringIO()
     w = csv.writer(out)
     w.writerow(df.columns)
-    for r in df.toLocalIterator():
+    for n, r in enumerate(df.toLocalIterator()):
+        if n >= most:
+            raise ValueError(f"over {most} rows; use write_csv")
         w.writerow(r)
     return b"\xef\xbb\xbf" + out.getvalue().encode()
 

@@ -86,8 +86,10 @@ def test_greedy_match(spark):
 def test_bundle_and_sinks(spark, tmp_path):
     x = findings.parsed(spark.createDataFrame([("r", 1, "ldl", "<5", "", "mg/dL", "normal", "mg/dL"), ("r", 0, "hb", "陰性", "", "g/L", "unknown", "g/dL")], "report_id string, pos int, item string, value_text string, ref_text string, unit string, status string, item_unit string"))
     b = json.loads(fhir.bundles(fhir.observations(x)).first().bundle)
-    first, second = (e["resource"] for e in b["entry"])
-    assert first["valueString"] == "陰性" and "valueQuantity" not in first and second["valueQuantity"] == {"value": 5.0, "comparator": "<", "unit": "mg/dL"}
+    patient, diagnostic, first, second = (e["resource"] for e in b["entry"])
+    assert (patient["resourceType"], patient["gender"], diagnostic["resourceType"]) == ("Patient", "unknown", "DiagnosticReport")
+    assert first["valueString"] == "陰性" and "valueQuantity" not in first and "coding" not in first["code"] or first["code"]["text"] == "hb"
+    assert second["valueQuantity"] == {"value": 5.0, "comparator": "<", "unit": "mg/dL", "system": "http://unitsofmeasure.org", "code": "mg/dL"}
     assert reports.one_csv(spark.createDataFrame([(1, "a")], "x int, y string")) == b"\xef\xbb\xbfx,y\r\n1,a\r\n"
     (tmp_path / "a.PDF").write_bytes(b"%PDF one")
     (tmp_path / "b.txt").write_bytes(b"no")
