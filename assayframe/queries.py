@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import more_queries
 from .functions import text as T
 from .operators import catalog, extract, fhir, findings, metrics, rules, search, trends, verify
 from .plans import lab
@@ -404,14 +405,6 @@ def verdict_stats(spark, d):
     return out.select("report_id", *[F.col(c).cast("long").alias(c) for c in ("total", "supported", "unsupported", "open", "downgraded")], "support_rate")
 
 
-@query
-def extract_records(spark, d):
-    """Reports rendered as text from the lab view, and read back by the line scanner."""
-    line = F.expr("concat(display, ' ', value_text, if(ref_text = '', '', concat(' (', ref_text, ')')))")
-    x = lab.records(spark, d).groupBy("report_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("text"))
-    return extract.records(x.withColumn("tables", F.lit(None).cast("array<array<array<string>>>")))
-
-
 @query
 def nfkc_names(spark, d):
     return lab.table(spark, d, "part").select("p_partkey", T.nfkc(F.concat(F.lit("Ｐ　"), F.col("p_name"))).alias("name"))
@@ -423,6 +416,9 @@ def top_findings(spark, d):
     return lab.records(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 8").select("report_id", "pos", "rank")
 
 
+QUERIES |= more_queries.QUERIES
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Records to findings to conditions to one line per report."""
     return batch_summary(spark, d)

@@ -5,9 +5,10 @@ import math
 import duckdb
 import pytest
 
-from assayframe.oracles import ORACLES
+from assayframe import more_queries, oracles
 from assayframe.queries import QUERIES
 
+ORACLES = oracles.ORACLES | more_queries.ORACLES
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
