@@ -78,8 +78,8 @@ def added(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], n
     return [c[at] for c in columns], np.add.reduceat(n, at) if len(at) else n
 
 
-def tally(docs: DataFrame, f: Callable, least: int = 1, flush: int = 1_000_000) -> DataFrame:
-    """``(o, x, y, n)``: rows that occur at least ``least`` times; those of kind 1 always.
+def tally(docs: DataFrame, f: Callable, least: int = 1, flush: int = 1_000_000, keep: Callable | None = None) -> DataFrame:
+    """``(o, x, y, n)``: rows that occur at least ``least`` times, those of kind 1 always; or what ``keep(o, columns, n)`` says of a shard's rows.
 
     ``docs`` has the text as ``__text``, in bytes. ``f(batch)`` gives ``(o, columns)`` pairs: kind, and one or two
     arrays of 64-bit keys.
@@ -114,9 +114,9 @@ def tally(docs: DataFrame, f: Callable, least: int = 1, flush: int = 1_000_000)
     def merge(rows: list, o: int) -> pa.RecordBatch:
         cols = [np.concatenate([unpack(r[k]) for r in rows]) for k in (0, 1)[: 1 if rows[0][1] is None else 2]]
         cols, n = added(cols, np.concatenate([unpack(r[2]).view(np.int64) for r in rows]))
-        keep = np.flatnonzero(n >= (1 if o == 1 else least))
-        x, y = cols[0][keep].view(np.int64), cols[-1][keep].view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), o, np.int32)), pa.array(x), pa.array(y), pa.array(n[keep])], names=["o", "x", "y", "n"])
+        some = np.flatnonzero(keep(o, cols, n) if keep else n >= (1 if o == 1 else least))
+        x, y = cols[0][some].view(np.int64), cols[-1][some].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(some), o, np.int32)), pa.array(x), pa.array(y), pa.array(n[some])], names=["o", "x", "y", "n"])
 
     def gather(batches):
         now, rows = None, []

@@ -269,7 +269,10 @@ def _block(rows: list[tuple], length: int) -> pa.RecordBatch:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """``rows(h, x, o, u, p, a, b)`` of one content (h, x), in order of place: the first keeps its ``h``, the others have none and go whole."""
+    """``rows(h, x, o, u, p, a, b)`` of one content (h, x), in order of place: ``h`` stays with the first; the others, which go whole, have none.
+
+    ``x``, ``fo``, ``fu``, ``fp``, ``fa`` and ``fb`` tell the others what they repeat.
+    """
     names = ["h", "x", "o", "u", "p", "a", "b"]
 
     def run(batches):
@@ -279,18 +282,19 @@ def _copies(rows: DataFrame) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
             of = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))  # where the row's group begins
-            first = [c[of] for c in (o, u, p)]
+            first = [c[of] for c in (o, u, p, a, b)]
             if before is not None and (h[0], x[0]) == before[:2]:
                 new[0] = False
                 for c, v in zip(first, before[2:]):
                     c[of == 0] = v
             before = h[-1], x[-1], *(c[-1] for c in first)
             keep = new | (o != first[0]) | (u != first[1]) | (p != first[2])  # a repeated row is its first again
-            cols = pa.array(h, pa.int64(), mask=~new), *map(pa.array, (o, u, p, a, b))
-            yield pa.RecordBatch.from_arrays(list(cols), names=["h", "o", "u", "p", "a", "b"]).filter(pa.array(keep))
+            cols = pa.array(h, pa.int64(), mask=~new), *map(pa.array, (o, u, p, a, b)), *(pa.array(c, pa.int64(), mask=new) for c in (x, *first))
+            yield pa.RecordBatch.from_arrays(list(cols), names=out).filter(pa.array(keep))
 
+    out = ["h", "o", "u", "p", "a", "b", "x", "fo", "fu", "fp", "fa", "fb"]
     sorted_ = rows.repartition("h", "x").sortWithinPartitions("h", "x", "o", "u", "p")
-    return sorted_.mapInArrow(run, "h bigint, o bigint, u bigint, p bigint, a bigint, b bigint")
+    return sorted_.mapInArrow(run, ", ".join(f"{n} bigint" for n in out))
 
 
 def _sharing(group: list[tuple], size: int, half: int) -> list[tuple]:
@@ -340,7 +344,7 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 1 <<
         both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t[i:j]) for i, j in zip(a.tolist(), b.tolist())]), np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1], np.full(len(a), o, np.int64), np.full(len(a), u, np.int64), at[cut], a, b
 
-    cuts = common.store(_copies(_over(docs, whole, schema)), "segments")
+    cuts = common.store(_copies(_over(docs, whole, schema)).select("h", "o", "u", "p", "a", "b"), "segments")
     common.release(spark)
     open_ = Bitmap(cuts.where("h is not null").select("h", "o", "u", "p"), _spot(None), bits)
 
@@ -370,7 +374,7 @@ def marks(docs: DataFrame, length: int = 100, bits: int = 27, block: int = 1 <<
             x[i] = name(t[p:q])
         return h.view(np.int64), x.view(np.int64), np.full(len(at), o, np.int64), np.full(len(at), u, np.int64), at, a, b
 
-    found = common.store(_copies(_over(docs, surroundings, schema)), "anchors")
+    found = common.store(_copies(_over(docs, surroundings, schema)).select("h", "o", "u", "p", "a", "b"), "anchors")
     common.release(spark)
     first = found.where("h is not null").select("h", "o", "u", "p")
     sizes = common.store(first.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "sizes")

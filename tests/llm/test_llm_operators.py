@@ -220,6 +220,31 @@ class TestSubstringDedup:
         assert a == b and len({d for d, _ in a}) == 12
 
 
+    def test_recall_of_changed_paragraphs_and_of_passages_inside_lines(self, spark):
+        r = random.Random(8)
+        texts, changed, inside = [], {}, {}
+        for i in range(60):
+            a = prose(3000 + i, 60).split()
+            b = list(a)
+            b[r.randrange(5, 55)] = "altered"
+            texts += [prose(4000 + i, 80) + "\n\n" + " ".join(a) + "\n\n" + prose(4100 + i, 50), prose(4200 + i, 90) + "\n\n" + " ".join(b) + "\n\n" + prose(4300 + i, 40)]
+            changed[2 * i + 1] = (" ".join(b), len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)))
+        for i in range(60):
+            p = prose(5000 + i, 51 + i % 10)
+            texts += [prose(6000 + i, 70) + " " + p + " " + prose(6100 + i, 33), prose(6200 + i, 41) + " " + p + " " + prose(6300 + i, 77)]
+            inside[len(texts) - 1] = p
+        rows = [x for x in substring_dedup.passages(frame(spark, texts)).collect() if x.removed]
+        part = lambda d, p: sum(max(0, min(x.b, (texts[d].index(p) + len(p))) - max(x.a, texts[d].index(p))) for x in rows if x.doc_id == d) / len(p)
+        alike = [d for d, (_, share) in changed.items() if share >= 0.8]
+        assert len(alike) == 60 and sum(part(d, changed[d][0]) >= 0.99 for d in alike) >= 57
+        assert all(part(d, p) >= 0.6 for d, p in inside.items())
+        assert {x.doc_id for x in rows} <= set(changed) | set(inside)
+
+
+def shingle_set(w):
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
 class TestDecontaminate:
     def test_planted(self, spark, docs, none):
         items = [prose(700 + i, 40) for i in range(20)]
