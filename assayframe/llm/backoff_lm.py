@@ -256,6 +256,15 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
 
     triples = common.store(tally(train, high, least, 2_000_000).drop("o"), "triples")
     common.release(docs.sparkSession)
+
+    def step(df: DataFrame, *done: DataFrame) -> DataFrame:
+        """``df`` stored; ``done`` are stored tables that nothing reads after it."""
+        out = common.store(df, "states")
+        for x in done:
+            common.drop(x)
+        common.release(docs.sparkSession)
+        return out
+
     left = lambda given, of: F.greatest(1 - F.coalesce(given, F.lit(0.0)) / F.col(of), F.lit(1e-12))
     given = pairs.groupBy(F.col("x").alias("h")).agg(F.sum(F.col("n") - discount).alias("m"))
     words = words.join(given, "h", "left").select("h", "c", (F.log10(F.col("c") + 1.0)).alias("base"), left("m", "c").alias("fail"))
@@ -263,20 +272,18 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
     context = words.select(F.col("h").alias("x"), "c", "fail")
     word = words.select(F.col("h").alias("y"), F.pow(F.lit(10.0), F.col("base") - norm).alias("p1"))
     given = triples.groupBy(F.col("x").alias("key")).agg(F.sum(F.col("n") - discount).alias("m"))
-    arcs = pairs.join(context, "x").join(word, "y").withColumn("p", (F.col("n") - discount) / F.col("c") + F.col("fail") * F.col("p1"))
-    arcs = arcs.select("key", "n", "p", (F.log10("p") - F.log10("p1") - F.log10("fail")).alias("v")).join(given, "key", "left")
-    arcs = common.store(arcs.select("key", "n", "p", "v", left("m", "n").alias("fail")), "states")
+    # one join a step, as each step's shuffle can go before the next one's
+    beside = step(pairs.join(context, "x").select("key", "y", "n", ((F.col("n") - discount) / F.col("c")).alias("own"), F.col("fail").alias("f")), counted)
+    p = F.col("own") + F.col("f") * F.col("p1")
+    arcs = step(beside.join(word, "y").select("key", "n", p.alias("p"), (F.log10(p) - F.log10("p1") - F.log10("f")).alias("v")), beside)
+    arcs = step(arcs.join(given, "key", "left").select("key", "n", "p", "v", left("m", "n").alias("fail")), arcs)
     g = arcs.select(F.col("key").alias("x"), F.col("n").alias("c"), "fail")
     lower = arcs.select(F.col("key").alias("y"), F.col("p").alias("p1"))
-    more = triples.join(g, "x").join(lower, "y").withColumn("p", (F.col("n") - discount) / F.col("c") + F.col("fail") * F.col("p1"))
-    more = more.select(F.xxhash64("x", "y").alias("key"), (F.log10("p") - F.log10("p1") - F.log10("fail")).alias("v"), "n")
+    beside = step(triples.join(g, "x").select("x", "y", "n", ((F.col("n") - discount) / F.col("c")).alias("own"), F.col("fail").alias("f")), triples)
+    more = step(beside.join(lower, "y").select(F.xxhash64("x", "y").alias("key"), (F.log10(p) - F.log10("p1") - F.log10("f")).alias("v"), "n"), beside)
     none = F.lit(None).cast("double").alias("base")
     whole = words.select(F.col("h").alias("key"), (F.col("base") + F.log10("fail")).alias("v"), "base", F.col("c").alias("n"))
     whole = whole.unionByName(arcs.select("key", (F.col("v") + F.log10("fail")).alias("v"), none, "n")).unionByName(more.select("key", "v", none, "n"))
-    whole = common.store(whole, "arcs")
-    for x in (counted, triples, words, arcs):
-        common.drop(x)
-    common.release(docs.sparkSession)
     return whole, int(total), norm
 
 
