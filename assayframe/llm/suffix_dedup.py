@@ -133,7 +133,7 @@ def _over(docs: DataFrame, f, schema: str, most: int = 4 << 20) -> DataFrame:
 
 
 def _bytes(x) -> int:
-    return x.nbytes if isinstance(x, np.ndarray) else len(x)
+    return 8 if x is None else x.nbytes if isinstance(x, np.ndarray) else len(x)
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
