@@ -1,7 +1,8 @@
 """Near-copies of whole documents: 5-word shingles, exact Jaccard similarity of at least ``share``.
 
-SimHash finds no such pairs reliably: at that similarity the fingerprints of most pairs differ in more
-bits than blocks can be selective for. So candidates come from MinHash bands:
+SimHash comes first: texts whose fingerprints over the same shingles differ in at most ``distance`` bits are
+linked by :func:`simhash.links`. At that similarity the fingerprints of most pairs differ in more bits than
+blocks can be selective for, so further candidates come from MinHash bands:
 
 1. Each text has ``bands`` keys of ``rows`` MinHash values. Equal word sequences are one content.
 2. Contents that share a key meet; those alone get their shingle sets, in a second scan. Buckets of
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import keep_first
+from .simhash import fingerprint, keep_first, links
 from .substring_dedup import Cutter, similar
 from .shards import Bitmap
 
 
-def groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 3, limit: int = 4096) -> DataFrame:
+def groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, bands: int = 16, rows: int = 3, limit: int = 4096, distance: int = 3, blocks: int = 6) -> DataFrame:
     """``(doc_id, key, root)``, one row per input row; ``key`` is the text's hash."""
     cut = Cutter(bands, rows, 0, shingle)
 
@@ -37,15 +38,16 @@ def groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, bands: int = 1
         return np.array([0, len(h)])
 
     def keys(cols: dict, texts: list) -> dict:
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "key": [], "c": [], "k": []}
+        out: dict[str, list] = {"doc_id": cols["doc_id"], "key": [], "c": [], "fp": [], "k": []}
         for t in texts:
             c, h = content(t)
             out["c"].append(c)
+            out["fp"].append(fingerprint(t, shingle))
             out["k"].append(cut.sketch(whole(h), h)[0][0].view(np.int64) if len(h) else np.zeros(0, np.int64))
             out["key"].append(xxhash.xxh64_intdigest(t or b"", 42))
-        return out | {n: np.array(out[n], np.uint64).view(np.int64) for n in ("key", "c")}
+        return out | {n: np.array(out[n], np.uint64).view(np.int64) for n in ("key", "c", "fp")}
 
-    found = common.store(common.map_text(docs, ["doc_id"], keys, "doc_id bigint, key bigint, c bigint, k array<bigint>"), "contents")
+    found = common.store(common.map_text(docs, ["doc_id"], keys, "doc_id bigint, key bigint, c bigint, fp bigint, k array<bigint>"), "contents")
     dealt = found.groupBy("c").agg(F.first("k").alias("k")).select(F.explode("k").alias("k"), "c").distinct()
     dealt = common.store(dealt, "dealt")
     sizes = dealt.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("mark")).where("n > 1")
@@ -64,7 +66,12 @@ def groups(docs: DataFrame, share: float = 0.8, shingle: int = 5, bands: int = 1
 
     shingles = common.map_text(docs, [], sets, "c bigint, s array<bigint>").groupBy("c").agg(F.first("s").alias("s"))
     shingles = common.store(shingles, "shingles")
-    roots = common.components(similar(met.join(shingles, "c"), sizes, share, limit))
+    prints = common.store(found.groupBy("fp").agg(F.min("c").alias("c")), "prints")
+    same = found.select("fp", F.col("c").alias("a")).distinct().join(prints.select("fp", F.col("c").alias("b")), "fp").select("a", "b")
+    near = links(prints.select("fp"), distance, blocks, limit)
+    ends = [prints.select(F.col("fp").alias(n), F.col("c").alias(f"c{n}")) for n in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    roots = common.components(similar(met.join(shingles, "c"), sizes, share, limit).unionByName(same).unionByName(near))
     out = found.join(roots, found.c == roots.node, "left")
     return out.select("doc_id", "key", F.coalesce("root", "c").alias("root"))
 
