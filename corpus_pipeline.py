@@ -18,7 +18,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies, by 5-word shingles of similarity 0.8, stays."""
+    """One document of each group of near-copies stays: SimHash links, and 5-word shingles of similarity 0.8.
+
+    Null texts are empty ones, and those are one group; null doc_ids are documents like any other; rows equal in doc_id and text are one.
+    """
     return near_copies.keep_one(docs, share=0.8, shingle=5)
 
 
