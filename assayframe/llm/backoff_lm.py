@@ -197,7 +197,7 @@ def fit(docs: DataFrame, size: int = 200_000) -> tuple[Automaton, DataFrame]:
 
 class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         got = self[w] = xxhash.xxh64_intdigest(w, 42)
         return got
@@ -331,7 +331,7 @@ def _packed(model: DataFrame, shards: int) -> DataFrame:
     return model.select("key", "v", F.when(F.col("base").isNull(), 0).otherwise(F.col("n")).alias("c")).mapInArrow(run, _SHARDED)
 
 
-def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int = 2_000_000) -> DataFrame:
+def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int = 1_000_000) -> DataFrame:
     """For each chunk of texts: what the cache knows of its rows, and the keys it asks the shards for, with the rows they stand in."""
     key, v, base = cache
 
