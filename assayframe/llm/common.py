@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shards import slices, trim
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
@@ -50,7 +52,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def map_text(docs: DataFrame, keep: list[str], f: Callable, schema: str, text: str = "text") -> DataFrame:
-    """Apply ``f(columns: dict of lists, texts: list[bytes | None]) -> dict of lists`` per Arrow batch.
+    """Apply ``f(columns: dict of lists, texts: list[bytes | None]) -> dict of lists`` per part of an Arrow batch, some megabytes of text each.
 
     Only ``keep`` and the text column are read; texts arrive as UTF-8 bytes, whole.
     """
@@ -58,10 +60,11 @@ def map_text(docs: DataFrame, keep: list[str], f: Callable, schema: str, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cols = {n: batch.column(n).to_pylist() for n in keep}
-                got = f(cols, batch.column("__text").to_pylist())
+            for some in slices(batch, "__text", 8 << 20):
+                cols = {n: some.column(n).to_pylist() for n in keep}
+                got = f(cols, some.column("__text").to_pylist())
                 yield pa.RecordBatch.from_pydict({n: got[n] for n in out.names}, schema=out)
+        trim()
 
     return docs.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
