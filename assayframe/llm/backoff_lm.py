@@ -28,7 +28,6 @@ N and V are zero and every token has probability one.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 from .classifiers import held_out
 from .simhash import LOWER
-from .shards import Bitmap, pack, runs, shard_count, shard_of, slices, tally, trim, unpack
+from .shards import Bitmap, mixed, pack, runs, shard_count, shard_of, slices, tally, trim, unpack
 
 END = b"\n"  # no word holds a line break
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -195,14 +194,6 @@ def fit(docs: DataFrame, size: int = 200_000) -> tuple[Automaton, DataFrame]:
     return Automaton(words, counts, pairs, triples, int(total), int(distinct), starts), uni.select(F.xxhash64("token").alias("h"), "c")
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        got = self[w] = xxhash.xxh64_intdigest(w, 42)
-        return got
-
-
 def _long(x: np.ndarray, seed) -> np.ndarray:
     h = x * _P[1]
     h = seed + _P[4] + np.uint64(8) ^ (h << np.uint64(31) | h >> np.uint64(33)) * _P[0]
@@ -217,12 +208,39 @@ def _key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _long(y, _long(x, np.uint64(42)))
 
 
-def _grams(texts: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 512
+_END = _long(np.frombuffer(END.ljust(8, b"\0"), "<u8"), np.uint64(len(END)))[0]
+
+
+def _hashed(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and all words' hashes: eight bytes of all words at a time, seeded with the length; words of over ``_LONG`` bytes one by one."""
+    size = np.array([len(t or b"") for t in texts], np.int64) + 1
+    data = b" " + b" ".join([t or b"" for t in texts]).translate(LOWER) + b" " * 8
+    word = ~_SPACE[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, width = edge[::2], edge[1::2] - edge[::2]
+    first = np.searchsorted(start, np.cumsum(size) - size + 1)
+    at = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    h = _long(at[start] & _MASK[np.minimum(width, 8)], width.astype(np.uint64))
+    done, more = 8, np.flatnonzero((width > 8) & (width <= _LONG))
+    while len(more):
+        h[more] = _long(at[start[more] + done] & _MASK[np.minimum(width[more] - done, 8)], h[more])
+        done += 8
+        more = more[width[more] > done]
+    for i in np.flatnonzero(width > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + width[i]], 42)
+    return np.diff(first, append=len(start)), h
+
+
+def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts' words, each text after a mark of its beginning: text, place in it, hash, key of the pair that ends there."""
-    lists = [[END, *tokens(t)] for t in texts]
-    size = np.array([len(x) for x in lists])
-    a = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64, size.sum())
-    row = np.repeat(np.arange(len(lists)), size)
+    words, h = _hashed(texts)
+    size, text = words + 2, np.arange(len(texts))
+    a = np.full(len(h) + 2 * len(texts), _END)
+    a[np.arange(len(h)) + 2 * np.repeat(text, words) + 1] = h
+    row = np.repeat(text, size)
     place = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
     pair = np.zeros(len(a), np.uint64)
     pair[1:] = _key(a[:-1], a[1:])
@@ -232,14 +250,13 @@ def _grams(texts: list, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray, np.nda
 def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[DataFrame, int, float]:
     """States and arcs of the whole model as ``(key, v, base, n)``, all tokens, and the root's norm; ``base`` only of words."""
     train = docs.where(~held_out(7, 2)).select(F.col("text").cast("binary").alias("__text"))
-    hashes = _Hashes()
 
     def low(batch):
-        _, place, a, _ = _grams(batch.column("__text").to_pylist(), hashes)
+        _, place, a, _ = _grams(batch.column("__text").to_pylist())
         at = np.flatnonzero(place > 0)
         return (1, [a[at]]), (2, [a[at - 1], a[at]])
 
-    counted = common.store(tally(train, low, least, 2_000_000), "counts")
+    counted = common.store(tally(train, low, least, 2_000_000, add=mixed), "counts")
     common.release(docs.sparkSession)
     words = counted.where("o = 1").select(F.col("x").alias("h"), F.col("n").alias("c"))
     pairs = counted.where("o = 2").select(F.xxhash64("x", "y").alias("key"), "x", "y", "n")
@@ -248,13 +265,13 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
     seen = Bitmap(pairs, "key", 27)
 
     def high(batch):
-        _, place, _, pair = _grams(batch.column("__text").to_pylist(), hashes)
+        _, place, _, pair = _grams(batch.column("__text").to_pylist())
         has = seen.has(pair)
         at = np.flatnonzero(place > 1)
         at = at[has[at] & has[at - 1]]
         return ((3, [pair[at - 1], pair[at]]),)
 
-    triples = common.store(tally(train, high, least, 2_000_000).drop("o"), "triples")
+    triples = common.store(tally(train, high, least, 2_000_000, add=mixed).drop("o"), "triples")
     common.release(docs.sparkSession)
 
     def step(df: DataFrame, *done: DataFrame) -> DataFrame:
@@ -336,7 +353,7 @@ def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int
     key, v, base = cache
 
     def run(batches):
-        chunk, hashes = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, _Hashes()
+        chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         rows, keys, where, n, held = [], [], [], 0, 0
         for batch in batches:
             for some in slices(batch, "__text"):
@@ -346,7 +363,7 @@ def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int
                     if n + part.num_rows > _MOST_ROWS or held > flush:
                         yield from sent(chunk, rows, keys, where)
                         chunk, rows, keys, where, n, held = chunk + 1, [], [], [], 0, 0
-                    known, rest, row = look(part.column("__text").to_pylist(), hashes)
+                    known, rest, row = look(part.column("__text").to_pylist())
                     own = ids.slice(at, part.num_rows)
                     rows.append((own.fill_null(0).to_numpy(zero_copy_only=False), own.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), *known))
                     keys.append(rest)
@@ -357,8 +374,8 @@ def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int
             yield from sent(chunk, rows, keys, where)
         trim()
 
-    def look(texts: list, hashes: _Hashes):
-        row, place, a, pair = _grams(texts, hashes)
+    def look(texts: list):
+        row, place, a, pair = _grams(texts)
         one, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
         keys = np.concatenate([a[one], pair[one], _key(pair[three - 1], pair[three])])
         rows, n = np.concatenate([row[one], row[one], row[three]]), len(texts)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assayframe.llm import backoff_lm, classifiers, common, decontaminate, pieces, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from assayframe.llm import backoff_lm, classifiers, common, decontaminate, pieces, pii, quality_rules, shards, simhash, substring_dedup, suffix_dedup
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -395,6 +395,26 @@ class TestLanguageModel:
                 assert train and abs(model.walk(w)[0] + once - r.score) < 1e-6, (size, r)
 
 
+    def test_hashes_tell_words_apart(self):
+        r = random.Random(4)
+        texts = [None, b"", b" ", b"A a\tb\x0bB\x0cx\ry\nz", b"x" * 513 + b" " + b"X" * 512 + b" y " + b"x" * 513, b"\x00 a\x00 a"]
+        texts += [bytes(r.choice(b"aB \n\t\x00c\xc3\xa9") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+        lists = [[backoff_lm.END, *backoff_lm.tokens(t)] for t in texts]
+        row, place, h, _ = backoff_lm._grams(texts)
+        seen = {}
+        for i, at, word, key in zip(row.tolist(), place.tolist(), [w for x in lists for w in x], h.tolist(), strict=True):
+            assert lists[i][at] == word and seen.setdefault(word, key) == key
+        assert len(set(seen.values())) == len(seen)
+
+    def test_mixed_order_adds_alike(self):
+        r = np.random.default_rng(3)
+        x = r.integers(0, 1 << 63, 50).astype(np.uint64)[r.integers(0, 50, 20_000)]
+        for y in (r.integers(0, 90, 20_000).astype(np.uint64), np.zeros(20_000, np.uint64)):
+            (a, b), n = shards.mixed([x, y], np.ones(len(x), np.int64))
+            assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == collections.Counter(zip(x.tolist(), y.tolist())) and len(n) == len(set(zip(a.tolist(), b.tolist())))
+            assert (np.diff((a >> np.uint64(32)).astype(np.int64)) >= 0).all()
+
+
 class TestPii:
     PATTERNS = {
         0: re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 1: re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
