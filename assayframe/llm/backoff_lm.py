@@ -28,6 +28,7 @@ N and V are zero and every token has probability one.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -301,7 +302,7 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
     none = F.lit(None).cast("double").alias("base")
     whole = words.select(F.col("h").alias("key"), (F.col("base") + F.log10("fail")).alias("v"), "base", F.col("c").alias("n"))
     whole = whole.unionByName(arcs.select("key", (F.col("v") + F.log10("fail")).alias("v"), none, "n")).unionByName(more.select("key", "v", none, "n"))
-    return whole, int(total), norm
+    return step(whole, words, arcs, more), int(total), norm
 
 
 _KINDS = pa.schema([("s", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -487,17 +488,27 @@ def _summed(answers: DataFrame) -> DataFrame:
     return answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, v double")
 
 
-def score(docs: DataFrame, size: int = 200_000, least: int = 2) -> DataFrame:
-    """The contract's columns, one row per input row."""
-    model, total, norm = table(docs, least)
+def score(docs: DataFrame, size: int = 200_000, least: int = 2, waves: int = 3) -> DataFrame:
+    """The contract's columns, one row per input row.
+
+    Texts look up the model in ``waves`` parts, by a hash of id and text, one after the other: the disk holds the look-ups of one part.
+    """
+    whole, total, norm = table(docs, least)
     often, shards = max(1, -(-total // size)), shard_count(docs.sparkSession)
-    cache = model.where(F.col("n") >= often).select("key", "v", "base").toArrow()
+    cache = whole.where(F.col("n") >= often).select("key", "v", "base").toArrow()
     key = cache.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     held = key[order], cache.column("v").to_numpy()[order], cache.column("base").to_numpy()[order].astype(float)
-    model = model.where(F.col("n") < often)
+    model = whole.where(F.col("n") < often)
     seen = Bitmap(model.select("key"), "key", 27)
-    scored = _summed(_answered(_packed(model, shards).unionByName(_asked(docs, held, seen, shards))))
+    common.release(docs.sparkSession)
+    parts = []
+    for wave in range(waves):
+        some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(waves)) == wave)
+        parts.append(common.store(_summed(_answered(_packed(model, shards).unionByName(_asked(some, held, seen, shards)))), "scored"))
+        common.release(docs.sparkSession)
+    common.drop(whole)
+    scored = reduce(DataFrame.unionByName, parts)
     less = F.col("n_tokens") * norm
     return scored.select(
         "doc_id", held_out(7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
