@@ -316,7 +316,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
 def _back(data: bytes, kind) -> np.ndarray:

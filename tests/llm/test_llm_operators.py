@@ -406,6 +406,12 @@ class TestLanguageModel:
             assert lists[i][at] == word and seen.setdefault(word, key) == key
         assert len(set(seen.values())) == len(seen)
 
+    def test_planes_return(self):
+        for kind in ("u2", "i8", "f8"):
+            for n in (0, 1, 5):
+                x = np.arange(n).astype(kind)
+                assert backoff_lm._back(backoff_lm._planes(x), kind).tolist() == x.tolist()
+
     def test_mixed_order_adds_alike(self):
         r = np.random.default_rng(3)
         x = r.integers(0, 1 << 63, 50).astype(np.uint64)[r.integers(0, 50, 20_000)]
