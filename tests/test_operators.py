@@ -117,3 +117,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, streaming.daily(src).collect()))
     assert sorted(map(tuple, spark.table("daily").collect())) == want and want
+
+
+def test_dense_holds_queries_against_all_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((400, 8)), 3)
+    x[100:160] = x[7]  # copies of one vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 8), (402, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0 or vec_id = 7").selectExpr("vec_id as query_id", "embedding")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for block in (20_000, 5):
+        got = {}
+        for r in search.dense(vectors, queries, 5, block).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.distance)
+        assert len(got) == 22
+        for q in [*range(0, 400, 20), 7]:
+            d = np.round(1 - unit @ unit[q], 6)
+            best = sorted((v, i) for i, v in enumerate(d.tolist()))[:5]
+            assert [got[q][k + 1][0] for k in range(5)] == [i for _, i in best]
+            assert np.allclose([got[q][k + 1][1] for k in range(5)], [v for v, _ in best], atol=1.1e-6)
+        assert [got[400][k + 1] for k in range(5)] == [(i, None) for i in range(5)]
+    few = vectors.where("vec_id >= 398")
+    assert [r.vec_id for r in search.dense(few, few.where("vec_id = 398").selectExpr("vec_id as query_id", "embedding")).orderBy("rank").collect()][2:] == [400, 401, 402]
+
+
+def test_closest_ids_of_a_label(spark):
+    rows = [(3 * i + i % 2, i % 4 if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int")
+    asked = df.where("vec_id % 10 = 0").selectExpr("vec_id as query_id", "label")
+    want = sorted((q, k + 1, i, abs(i - q)) for q, ql in rows if q % 10 == 0 and ql is not None for k, i in enumerate(sorted((i for i, x in rows if x == ql), key=lambda i: (abs(i - q), i))[:6]))
+    for block in (20_000, 4):
+        assert sorted((r.query_id, r.rank, r.id, r.gap) for r in search.closest(df, asked, 6, block).collect()) == want
