@@ -230,9 +230,8 @@ def dense_topk(spark, d):
 @query
 def rrf_fuse(spark, d):
     v = lab.table(spark, d, "embeddings")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    near = v.join(F.broadcast(asked), v.label == asked.ql).select("query_id", F.col("vec_id").alias("id"), F.abs(F.col("vec_id") - F.col("query_id")).alias("gap"))
-    other = search.top(near, "query_id", ["gap", "id"], 10).select("query_id", "id", "rank")
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    other = search.closest(v, asked, 10).select("query_id", "id", "rank")
     both = _dense(spark, d).select("query_id", F.col("vec_id").alias("id"), "rank").unionByName(other)
     return search.fuse(both, 10).select("query_id", "id", "score")
 
