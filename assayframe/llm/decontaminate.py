@@ -11,7 +11,8 @@ subsequence with the item, and the presence of its answer, the item's most telli
 that paraphrases count and texts on the same subject do not. As no pair passes without its answer,
 answers are counted first, for all passages at once, and cosines are taken of the pairs that have one.
 
-The space is fitted on at most ``sample`` documents and the items; all else covers every passage.
+The space is fitted on all passages of all documents and on the items, in one pass over whole texts;
+a large corpus weighs no more against the items than ``worth`` documents would.
 The benchmark is the one table collected; ``most_items`` is its stated bound and is checked.
 
 Null texts count as empty and match nothing; null ids, repeated rows and empty tables are fine;
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .classifiers import bounded
+from .shards import slices, trim
 
 #: Power of the inverse document frequency in vectors: words that all texts share hardly count.
 POWER = 3.0
+_PAGE = 4096  # terms whose sums travel in one row
 _PLAIN = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -172,7 +174,7 @@ def _chunks(texts: list, size: int = 200_000):
         yield part
 
 
-def fit(docs: DataFrame, items: list[list[bytes]], rank: int, block: int, sample: int) -> tuple[Space, dict[bytes, float]]:
+def fit(docs: DataFrame, items: list[list[bytes]], rank: int, block: int, worth: int) -> tuple[Space, dict[bytes, float]]:
     terms = {w: i for i, w in enumerate(sorted({w for x in items for w in x}))}
     space = Space(terms, np.zeros((len(terms), 1)), np.zeros((0, 1)), block)
 
@@ -214,17 +216,35 @@ def fit(docs: DataFrame, items: list[list[bytes]], rank: int, block: int, sample
         return out
 
     def part(batches):
-        out = np.zeros_like(test)
+        out, n = np.zeros_like(test), 0
+        for batch in batches:
+            n += batch.num_rows
+            for some in slices(batch, "t"):
+                for few in _chunks(some.column("t").to_pylist(), 20_000):
+                    out += sketch([w for _, w in few])
+        at = range(0, len(out), _PAGE)
+        yield pa.RecordBatch.from_pydict(
+            {"page": pa.array([-1, *at], pa.int64()), "m": pa.array([np.int64(n).tobytes(), *(out[i : i + _PAGE].tobytes() for i in at)], pa.binary())}
+        )
+        trim()
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for some in _chunks(batch.column("t").to_pylist(), 20_000):
-                out += sketch([w for _, w in some])
-        yield pa.RecordBatch.from_pydict({"m": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
-
-    ids = bounded(docs.where("doc_id is not null").select("doc_id").distinct(), sample)
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("text").cast("binary").alias("t")).repartition(8)
-    total_sketch = sketch(items) * 10  # the items shape the space, as they are what is looked for
-    for r in some.mapInArrow(part, "m binary").toLocalIterator():
-        total_sketch += np.frombuffer(r.m, np.float32).reshape(test.shape)
+            for page, m in zip(batch.column("page").to_pylist(), batch.column("m").to_pylist()):
+                m = np.frombuffer(m, np.int64 if page < 0 else np.float64)
+                sums[page] = sums[page] + m if page in sums else m
+        yield pa.RecordBatch.from_pydict({"page": pa.array(list(sums), pa.int64()), "m": pa.array([m.tobytes() for m in sums.values()], pa.binary())})
+
+    parts = docs.select(F.col("text").cast("binary").alias("t")).mapInArrow(part, "page bigint, m binary")
+    n, corpus = 0, np.zeros_like(test)
+    for r in parts.repartition("page").sortWithinPartitions("page", "m").mapInArrow(summed, "page bigint, m binary").toLocalIterator():
+        if r.page < 0:
+            n = int(np.frombuffer(r.m, np.int64)[0])
+        else:
+            corpus[r.page : r.page + _PAGE] = np.frombuffer(r.m, np.float64).reshape(-1, test.shape[1])
+    # the items shape the space, as they are what is looked for: a large corpus weighs no more against them than ``worth`` documents
+    total_sketch = sketch(items) * 10 + corpus * min(1.0, worth / max(n, 1))
     # Nystrom: C ~ B (Ωᵀ B)⁻¹ Bᵀ from the one pass, then its leading eigenvectors
     shift = 1e-6 * np.linalg.norm(total_sketch)
     b = total_sketch + shift * test
@@ -242,7 +262,7 @@ def fit(docs: DataFrame, items: list[list[bytes]], rank: int, block: int, sample
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 64, block: int = 32, cosine: float = 0.1, sample: int = 10_000,
+    docs: DataFrame, benchmark: DataFrame, rank: int = 64, block: int = 32, cosine: float = 0.1, worth: int = 10_000,
     share: float = 0.5, short: int = 16, short_share: float = 0.8, answer_share: float = 0.5, most_items: int = 50_000,
 ) -> DataFrame:
     """``(doc_id, key, item_id, cosine, aligned, answer)``: one row per document and item it holds.
@@ -258,7 +278,7 @@ def leaks(
     if not rows:
         return docs.sparkSession.createDataFrame([], schema)
     names, items = [i for i, _ in rows], [w for _, w in rows]
-    space, idf = fit(docs, items, rank, block, sample)
+    space, idf = fit(docs, items, rank, block, worth)
     match = Matcher(items, idf, share, short, short_share, answer_share)
 
     def run(cols: dict, texts: list) -> dict:

@@ -532,3 +532,30 @@ class TestSuffixDedup:
 def test_null_and_clashing_columns_survive(docs):
     assert {"h", "o", "t", "key"} <= set(docs.columns) and docs.where("doc_id is null").count() == 1
     assert os.path.exists(MODEL)
+
+
+def test_latent_space_comes_from_all_documents(spark):
+    import numpy as np
+
+    from assayframe.llm import decontaminate
+
+    items = [[f"w{k}".encode() for k in range(i, i + 30)] for i in range(0, 300, 30)]
+    few = [(i, " ".join(f"w{(7 * i + j) % 300}" for j in range(40))) for i in range(60)]
+    late = few + [(10**9 + i, None if i == 5 else " ".join(f"w{(11 * i + 5 * j) % 300}" for j in range(40))) for i in range(60)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    whole = decontaminate.fit(make(late), items, 8, 32, 40)[0]
+    # rows count whatever their id is, null too, and each as often as it stands there
+    unnamed = decontaminate.fit(make([(None, t) for _, t in late]), items, 8, 32, 40)[0]
+    twice = decontaminate.fit(make(late + late[60:]), items, 8, 32, 40)[0]
+    near = lambda a, b: np.abs(a.items @ a.items.T - b.items @ b.items.T).max()
+    assert near(whole, unnamed) < 1e-4
+    assert near(whole, twice) > 1e-3
+
+
+def test_shuffle_files_go_with_their_store(spark):
+    from assayframe.llm import common, shards
+
+    before = shards._shuffles(spark)
+    kept = common.store(spark.range(1000).selectExpr("id % 7 as k").repartition("k").groupBy("k").count(), "swept")
+    assert shards._shuffles(spark) <= before
+    assert kept.count() == 7
