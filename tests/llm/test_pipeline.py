@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from assayframe.llm import common, near_copies
 from test_llm_operators import DOCS, prose
 
 
@@ -55,3 +56,21 @@ def test_near_dedup_finds_every_pair_of_similarity(spark):
     for i in range(0, 120, 2):
         a, b = shingles(texts[i]), shingles(texts[i + 1])
         assert i in kept and (i + 1 in kept) == (len(a & b) < 0.8 * len(a | b)), i
+
+
+def test_near_dedup_brings_few_unlike_texts_together(spark, monkeypatch):
+    """Texts of similarity 0.24 meet in few buckets: such meetings grow with the square of the texts, and carry shingle sets."""
+    same = prose(3000, 60)
+    rows = [(i, same + " " + prose(3001 + i, 90), "en", "s", 1) for i in range(200)]
+    stored, store = {}, common.store
+    monkeypatch.setattr(common, "store", lambda df, name: stored.setdefault(name, store(df, name)))
+    groups = near_copies.groups(spark.createDataFrame(rows, DOCS))
+    assert groups.select("root").distinct().count() == 200
+    assert stored["met"].count() < 100
+
+
+def test_near_dedup_with_texts_of_few_words(spark):
+    texts = ["", None, " \n ", "one", "One ", "one two", "a b c d e", "A b\nc d e", prose(4000, 300_000), prose(4000, 300_000) + " more"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert kept == {0, 3, 5, 6, 8}
