@@ -1,7 +1,8 @@
 """Text classifiers that are trained here: quality from positives and unlabelled text, toxicity by boosted trees.
 
-Both learn on a bounded sample of rows (``sample``, a documented parameter; rows with the lowest
-hash of doc_id, so any cluster picks the same), and score every row in one pass over whole texts.
+Quality learns from every row, in parts of bounded size; toxicity on a bounded sample of rows (``sample``, a
+documented parameter; rows with the lowest hash of doc_id, so any cluster picks the same). Both score every row in
+one pass over whole texts.
 A null text counts as empty; empty texts get a score like any other. Rows whose doc_id is null are
 scored, but never learned from. Repeated rows and further columns of the input do no harm. Without
 any labelled row of a kind the score is one half (quality) or zero (toxicity).
@@ -11,12 +12,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .shards import trim
 
 _SYMBOLS, _PUNCT, _ENDS = list(b"#*$%&|<>"), list(b",;:-()'\""), list(b".!?")
 
@@ -72,85 +76,192 @@ def shapes(docs: DataFrame) -> DataFrame:
     )
 
 
-def class_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 2.0) -> float:
-    """Share of good texts among the unlabelled, from trusted positives and unlabelled text alone.
+_SIZE = 20_000
+
+
+def cuts_of(shaped: DataFrame, bins: int = 12) -> list[np.ndarray]:
+    """Where bins of each feature end, by quantiles of all rows: values are counted with nine binary digits after the first."""
+
+    def run(batches):
+        for batch in batches:
+            x = _matrix(batch)
+            for j in range(x.shape[1]):
+                v, n = np.unique(x[:, j].astype(np.float32).view(np.int32) >> 14, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"j": pa.array([j] * len(v), pa.int32()), "v": pa.array(v, pa.int32()), "n": pa.array(n, pa.int64())})
+
+    counted = shaped.select("x").mapInArrow(run, "j int, v int, n bigint").groupBy("j", "v").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for j in range(len(shape(None))):
+        v, n = (np.array(c) for c in zip(*sorted((r.v, r.n) for r in counted if r.j == j)))
+        value, upto = (v.astype(np.int32) << 14).view(np.float32).astype(float), n.cumsum()
+        cuts = np.unique(value[np.searchsorted(upto, np.linspace(0, 1, bins + 1)[1:-1] * upto[-1])])
+        # rare extremes matter as much as quantiles: three more cuts between the largest quantile and the maximum
+        out.append(np.unique(np.concatenate([cuts, np.linspace(cuts[-1], value[-1], 5)[1:-1]])))
+    return out
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
 
-    A model tells half of the one from half of the other. Above any threshold on the other halves' scores
-    lies at most prior times the positives' share of the unlabelled, and just that where no bad text
-    scores so high; so the smallest ratio of the two shares is the estimate. It is a low one, by ``sure`` standard
-    errors of each share: too high a prior lets bad texts pass as good, one slightly too low costs little.
-    Thresholds that leave few positives are not looked at.
+def halves(positive: np.ndarray, unlabelled: np.ndarray, k: int) -> list[float]:
+    """What :func:`class_prior` has to know of a part: rows in the other halves, and shares of them above thresholds on their scores.
+
+    A model tells half of the positives from half of the unlabelled. Thresholds that leave few positives are not looked at.
     """
-    model = PositiveUnlabelled(positive[::2], unlabelled[::2], 0.5, rounds=300)
-    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    w, b = fitted(positive[::2], unlabelled[::2], k, 0.5, rounds=300)
+    p, u = (np.sort(_sigmoid(w[x[1::2]].sum(1) + b)) for x in (positive, unlabelled))
     if len(p) < 20 or len(u) < 20:
-        return 0.5
+        return []
     t = np.quantile(p, np.linspace(0, 0.5, 101))
-    above = lambda x: 1 - np.searchsorted(x, t, "left") / len(x)
-    fp, fu = above(p), above(u)
+    return [len(p), len(u), *(1 - np.searchsorted(p, t, "left") / len(p)), *(1 - np.searchsorted(u, t, "left") / len(u))]
+
+
+def class_prior(parts: Iterable[list[float]], sure: float = 2.0) -> float:
+    """Share of good texts among the unlabelled, from trusted positives and unlabelled text alone.
+
+    Above any threshold on scores lies at most prior times the positives' share of the unlabelled, and just that where
+    no bad text scores so high; so the smallest ratio of the two shares, over all parts, is the estimate. It is a low one, by ``sure``
+    standard errors of each share: too high a prior lets bad texts pass as good, one slightly too low costs little.
+    """
+    p = u = fp = fu = 0
+    for n, m, *shares in parts:
+        p, u, fp, fu = p + n, u + m, fp + n * np.array(shares[:101]), fu + m * np.array(shares[101:])
+    if not p:
+        return 0.5
+    fp, fu = fp / p, fu / u
     error = lambda f, n: sure * np.sqrt(f * (1 - f) / n)
-    return float(np.clip(((fu - error(fu, len(u))) / (fp + error(fp, len(p)))).min(), 0.05, 0.95))
+    return float(np.clip(((fu - error(fu, u)) / (fp + error(fp, p))).min(), 0.05, 0.95))
 
 
-class PositiveUnlabelled:
-    """Additive logistic model over quantile bins, fitted to the non-negative unbiased risk.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fitted(p: np.ndarray, u: np.ndarray, k: int, prior: float, rounds: int = 1000, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights of ``k`` bins and a constant, fitted to the non-negative unbiased risk of rows of bins.
 
     Risk: prior * E_pos[l(f)] + max(0, E_unl[l(-f)] - prior * E_pos[l(-f)]), with logistic loss l.
     Where the second part would turn negative its gradient is reversed, so the model can't gain by
     calling the trusted positives negative.
     """
+    w, b = np.zeros(k), np.log(prior / (1 - prior))
+    m, v = np.zeros(k + 1), np.zeros(k + 1)
+    push = lambda i, g: np.bincount(i.ravel(), np.repeat(g, i.shape[1]), k) / len(i)
+    for t in range(1, rounds + 1):
+        sp, su = _sigmoid(w[p].sum(1) + b), _sigmoid(w[u].sum(1) + b)
+        rest = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
+        first = np.append(prior * push(p, sp - 1), prior * np.mean(sp - 1))
+        second = np.append(push(u, su) - prior * push(p, sp), su.mean() - prior * sp.mean())
+        g = first + second if rest >= 0 else -second
+        g[:-1] += l2 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return w, b
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, rounds: int = 1000, rate: float = 0.1, l2: float = 1e-5):
-        self.cuts = [np.unique(np.quantile(unlabelled[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(unlabelled.shape[1])]
-        # rare extremes matter as much as quantiles: three more cuts between the largest quantile and the maximum
-        self.cuts = [np.unique(np.concatenate([c, np.linspace(c[-1] if len(c) else 0, unlabelled[:, j].max(), 5)[1:-1]])) for j, c in enumerate(self.cuts)]
-        self.at = np.cumsum([0] + [len(c) + 1 for c in self.cuts])
-        p, u = self.index(positive), self.index(unlabelled)
-        k = self.at[-1]
-        w, b = np.zeros(k), np.log(prior / (1 - prior))
-        m, v, t = np.zeros(k + 1), np.zeros(k + 1), 0
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        push = lambda i, g: np.bincount(i.ravel(), np.repeat(g, i.shape[1]), k) / len(i)
-        for t in range(1, rounds + 1):
-            sp, su = sig(w[p].sum(1) + b), sig(w[u].sum(1) + b)
-            rest = np.mean(-np.log(1 - su + 1e-12)) - prior * np.mean(-np.log(1 - sp + 1e-12))
-            first = np.append(prior * push(p, sp - 1), prior * np.mean(sp - 1))
-            second = np.append(push(u, su) - prior * push(p, sp), su.mean() - prior * sp.mean())
-            g = first + second if rest >= 0 else -second
-            g[:-1] += l2 * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            w, b = w - step[:-1], b - step[-1]
-        self.w, self.b = w, b
-
-    def index(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([self.at[j] + np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.cuts)], 1)
+
+class PositiveUnlabelled:
+    """Additive logistic model over the bins that ``cuts`` make of each feature."""
+
+    def __init__(self, cuts: list[np.ndarray]):
+        self.cuts, self.w, self.b = cuts, np.zeros(0), 0.0
+        self.at = np.cumsum([0] + [len(c) + 1 for c in cuts])
+
+    def bins(self, x: np.ndarray) -> np.ndarray:
+        """Bins of a row's features, each counted from its feature's first."""
+        return np.stack([np.searchsorted(c, x[:, j], "right") for j, c in enumerate(self.cuts)], 1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.w[self.index(x)].sum(1) + self.b, -30, 30)))
+        return _sigmoid(self.w[self.bins(x) + self.at[:-1]].sum(1) + self.b)
+
+
+def parts_of(coded: DataFrame, good: DataFrame, size: int) -> DataFrame | None:
+    """``(part, kind, o, code)``: all rows dealt to parts of about ``size``, and to each part about half as many positives.
+
+    Every row is in one part as unlabelled. Positives all go to as many parts, to one only where there are enough of them.
+    Without rows or positives there is nothing to learn.
+    """
+    trusted = coded.join(good, "doc_id", "left_semi")
+    n, p = coded.count(), trusted.count()
+    if not p:
+        return None
+    parts = -(-n // size)
+    times = min(parts, -(-size // 2 * parts // p))
+    part = lambda i: F.pmod(F.xxhash64("o", F.lit("part")) + i, F.lit(parts)).cast("int").alias("part")
+    rows = coded.select(part(F.lit(0)), F.lit(0).alias("kind"), "o", "code")
+    again = trusted.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select(part(F.col("i")), F.lit(1).alias("kind"), "o", "code")
+    return rows.unionByName(again).repartition(min(3 * parts, 2000), "part").sortWithinPartitions("part", "kind", "o", "code")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> PositiveUnlabelled | float:
-    """Learn from at most ``sample`` trusted positives and twice as many unlabelled rows.
+def each_part(parts: DataFrame, at: np.ndarray, f: Callable) -> Iterator[tuple[int, list[float]]]:
+    """Rows, and ``f(positive, unlabelled)``, of every part, on the executors and in order."""
 
+    def run(batches):
+        now, held = None, {0: [], 1: []}
+        for batch in batches:
+            part, kind = (batch.column(c).to_numpy() for c in ("part", "kind"))
+            code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(part), len(at) - 1)
+            new = np.flatnonzero(np.diff(part)) + 1
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), len(part)]):
+                if j > i:
+                    if now is not None and part[i] != now:
+                        yield from done(held)
+                        held = {0: [], 1: []}
+                    now = part[i]
+                    for x in (0, 1):
+                        held[x].append(code[i:j][kind[i:j] == x])
+        yield from done(held)
+        trim()
+
+    def done(held):
+        u, p = (np.concatenate(held[x]).astype(np.int64) + at[:-1] if held[x] else np.zeros((0, 0)) for x in (0, 1))
+        if len(u) and len(p):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(u)], pa.int64()), "x": pa.array([f(p, u)], pa.list_(pa.float64()))})
+
+    for r in parts.mapInArrow(run, "n bigint, x array<double>").toLocalIterator():
+        yield r.n, r.x
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, size: int = _SIZE) -> PositiveUnlabelled | float:
+    """Learn from all trusted positives and all rows, as unlabelled ones, that are not held out.
+
+    Bins are those of all rows. Parts of about ``size`` rows are fitted for themselves, and the model's weights are
+    the mean of theirs, so the work grows with the rows and no task holds more than a part; up to ``size`` rows are one part.
     The labels' negatives are not looked at; the class prior is :func:`class_prior`'s.
     """
     train = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = bounded(train.where("quality = 1"), sample).select("doc_id", F.lit(1).alias("kind"))
-    web = bounded(docs.where("doc_id is not null").where(~held_out()).select("doc_id").distinct(), 2 * sample).select("doc_id", F.lit(0).alias("kind"))
-    picked = good.unionByName(web).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
-    rows = shapes(docs.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(picked), "doc_id").collect()
-    if not rows:
+    good = train.where("quality = 1").select("doc_id")
+    shaped = common.store(shapes(docs.where("doc_id is not null").where(~held_out())), "shapes")
+    if shaped.isEmpty():
+        return 0.5
+    model = PositiveUnlabelled(cuts_of(shaped))
+
+    def codes(batches):
+        for batch in batches:
+            if batch.num_rows:
+                rows = model.bins(_matrix(batch)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "code"])
+
+    coded = common.store(shaped.mapInArrow(codes, "doc_id bigint, code binary").withColumn("o", F.xxhash64("doc_id", "code")), "codes")
+    common.drop(shaped)
+    parts, k, at = parts_of(coded, good, size), int(model.at[-1]), model.at
+    if parts is None:
+        return 0.5
+    prior = class_prior(x for _, x in each_part(parts, at, lambda p, u: halves(p, u, k)) if x)
+    total, weights = 0, np.zeros(k + 1)
+    for n, x in each_part(parts, at, lambda p, u: np.append(*fitted(p, u, k, prior)).tolist()):
+        total, weights = total + n, weights + n * np.array(x)
+    common.drop(coded)
+    if not total:
         return 0.5
-    x = np.array([r.x for r in rows], float)
-    kinds = [set(r.kinds) for r in rows]
-    pos, web = np.array([1 in k for k in kinds], bool), np.array([0 in k for k in kinds], bool)
-    return PositiveUnlabelled(x[pos], x[web], class_prior(x[pos], x[web])) if pos.any() and web.any() else 0.5
+    model.w, model.b = weights[:-1] / total, float(weights[-1] / total)
+    return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 10_000) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, size: int = _SIZE) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``: how likely a text is good."""
-    model = fit_quality(docs, labels, sample)
+    model = fit_quality(docs, labels, size)
 
     def run(cols: dict, texts: list) -> dict:
         if isinstance(model, float):
@@ -164,9 +275,9 @@ def _decided(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, size: int = _SIZE) -> DataFrame:
     """The rows of ``docs`` whose own text scores ``threshold`` or more; all columns, in one pass."""
-    model = fit_quality(docs, labels, sample)
+    model = fit_quality(docs, labels, size)
     if isinstance(model, float):
         return docs if model >= threshold else docs.limit(0)
 

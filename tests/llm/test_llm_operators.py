@@ -324,6 +324,25 @@ class TestClassifiers:
         kept = classifiers.keep_good(d, labels)
         assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.predicted}
 
+    def test_quality_learns_from_every_row(self, spark):
+        texts = [" ".join(x + "$$$" for x in prose(i, 30).split()) if i % 7 == 0 else prose(i, 40 + i % 90) for i in range(600)]
+        docs, labels = labelled(spark, texts, [int(i % 7 > 0) for i in range(600)], "quality")
+        order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+        first = classifiers.fit_quality(docs, labels, 100)
+        changed = docs.withColumn("text", F.when(F.col("doc_id") == order[-1], F.lit("A1? " * 900)).otherwise(F.col("text")))
+        other = classifiers.fit_quality(changed, labels, 100)
+        assert not np.array_equal(first.w, other.w)
+        good = first.score(np.array([classifiers.shape(t.encode()) for t in texts])) >= 0.5
+        assert np.mean(good == [i % 7 > 0 for i in range(600)]) > 0.95
+
+    def test_quality_deals_every_row(self, spark):
+        coded = spark.createDataFrame([(i, i * 7919, bytes([i % 256])) for i in range(1000)], "doc_id bigint, o bigint, code binary")
+        for trusted, size in ((30, 100), (700, 100), (30, 5000)):
+            rows = classifiers.parts_of(coded, coded.where(F.col("doc_id") < trusted).select("doc_id"), size).collect()
+            assert sorted(r.o for r in rows if r.kind == 0) == [i * 7919 for i in range(1000)]
+            times = {len({r.part for r in rows if r.kind and r.o == i * 7919}) for i in range(trusted)}
+            assert len(times) == 1 and sum(r.kind for r in rows) == trusted * times.pop()
+
     def test_toxicity(self, spark, docs, none):
         texts, y = [], []
         for i in range(900):
