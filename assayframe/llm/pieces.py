@@ -14,25 +14,34 @@ size is that of the file. A word is a run of spaces and what follows to the next
 crosses; a model with such a piece is refused. Characters outside the vocabulary become
 bytes, or the unknown id where the model has no bytes. A null text encodes as null ids in
 :func:`encode` and counts as no tokens; an empty text has none. Texts are never cut.
+
+Words go through in parts of :data:`_PART`, and a worker remembers the words of late parts only (:data:`_KEPT` and as
+many older ones), so its memory does not grow with the number of different words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shards import runs, slices, trim
+
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, list[dict[str, bytes]]] = {}
 _FILTER = 22
 _TOP = np.uint64(64 - _FILTER)
 _LONG = 48  # longer words go one by one, their steps are too many to share
+_CELLS = 100_000  # characters of words of one length that advance together
+_PART, _KEPT = 250_000, 80_000
 
 
 def _hash(s: str) -> int:
@@ -65,7 +74,7 @@ class Pieces:
         self.maybe = np.zeros(1 << _FILTER, bool)  # most probes end at this filter
         self.maybe[(self.keys >> _TOP).astype(np.int64)] = True
         name = hashlib.sha256("\0".join([*pieces, str(pairs), str(prefix)]).encode()).hexdigest()
-        self.known = _KNOWN.setdefault(name, {})  # a worker keeps its words from task to task
+        self.known = _KNOWN.setdefault(name, [{}, {}])  # a worker keeps words from task to task: late ones, and older ones
         if pairs:
             self._learn_merges(normal)
         self.text = [self._bytes(i, k) for i, k in enumerate(kinds)]
@@ -178,42 +187,47 @@ class Pieces:
     def _walk(self, words: list[str]) -> list[list[int]]:
         """Piece numbers of words of one length; ``size`` stands for a character outside the vocabulary."""
         m, n = len(words), len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros((m, n + 1), np.uint64)
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
+        prefix = np.zeros((n + 1, m), np.uint64)
         for i in range(n):
-            prefix[:, i + 1] = prefix[:, i] * _BASE + chars[:, i]
-        best = np.full((m, n + 1), -np.inf)
-        best[:, 0] = 0
-        last, back = np.full((m, n + 1), self.size, np.int64), np.zeros((m, n + 1), np.int64)
+            prefix[i + 1] = prefix[i] * _BASE + chars[i]
+        best = np.full((n + 1, m), -np.inf)
+        best[0] = 0
+        last, back = np.full((n + 1, m), self.size, np.int64), np.zeros((n + 1, m), np.int64)
         lowest = float(self.score.min()) - 10
         for end in range(1, n + 1):
-            for size in range(1, min(end, self.longest) + 1):
-                start = end - size
-                h = prefix[:, end] - prefix[:, start] * self.power[size]
-                row, piece = self._probe(h)
-                if size == 1 and len(row) < m:  # outside the vocabulary: always a step of its own
-                    out = np.ones(m, bool)
-                    out[row] = False
-                    best[out, end] = best[out, start] + (0 if self.pairs else lowest)
-                    back[out, end] = start
-                if self.pairs:
-                    ok = self.reached[piece]
-                    row, piece = row[ok], piece[ok]
-                    if start:
-                        ok = self.may_follow(last[row, start], piece)
-                        row, piece = row[ok], piece[ok]
-                    total = best[row, start]
-                else:
-                    total = best[row, start] + self.score[piece]
-                more = total > best[row, end]
-                row, piece = row[more], piece[more]
-                best[row, end], last[row, end], back[row, end] = total[more], piece, start
+            low = max(0, end - self.longest)
+            # substrings that end here, the shortest first
+            h = prefix[end] - prefix[low:end][::-1] * self.power[1 : end - low + 1, None]
+            at, piece = self._probe(h.ravel())
+            start, row = end - 1 - at // m, at % m
+            out = np.ones(m, bool)
+            out[row[start == end - 1]] = False
+            if out.any():  # outside the vocabulary: always a step of its own
+                best[end, out] = best[end - 1, out] + (0 if self.pairs else lowest)
+                back[end, out] = end - 1
+            ok = best[start, row] > -np.inf
+            if self.pairs:
+                ok &= self.reached[piece]
+            start, row, piece = start[ok], row[ok], piece[ok]
+            if self.pairs:
+                ok = self.may_follow(last[start, row], piece)
+                start, row, piece = start[ok], row[ok], piece[ok]
+                total = best[start, row]
+                order = np.argsort(row, kind="stable")
+            else:
+                total = best[start, row] + self.score[piece]
+                order = np.lexsort((-total, row))
+            top = order[runs(row[order])]  # of equals the shorter piece
+            top = top[total[top] > best[end, row[top]]]
+            row = row[top]
+            best[end, row], last[end, row], back[end, row] = total[top], piece[top], start[top]
         where, out = np.full(m, n), np.full((m, n), -1, np.int64)
         rows = np.arange(m)
         for k in range(n - 1, -1, -1):
             live = where > 0
-            out[live, k] = last[rows[live], where[live]]
-            where[live] = back[rows[live], where[live]]
+            out[live, k] = last[where[live], rows[live]]
+            where[live] = back[where[live], rows[live]]
             if not live.any():
                 break
         return [r[r >= 0].tolist() for r in out]
@@ -267,33 +281,57 @@ class Pieces:
                 at += 1
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that were not met before, those of a length together."""
-        if len(self.known) > 600_000:
-            self.known.clear()
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words; those that are not remembered are encoded, those of a length together."""
+        if len(self.known[0]) > _KEPT:
+            self.known[:] = {}, self.known[0]
+        late, older = self.known
         by: dict[int, list[str]] = {}
         for w in words:
-            if w not in self.known:
-                by.setdefault(len(w), []).append(w)
+            if w not in late:
+                got = older.get(w)
+                if got is None:
+                    by.setdefault(len(w), []).append(w)
+                else:
+                    late[w] = got
         for n, some in by.items():
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
+            wide = max(1, _CELLS // n)
+            for k in range(0, len(some), wide):
+                part = some[k : k + wide]
                 steps = [self._long(w) for w in part] if n > _LONG else self._walk(part)
-                self.known.update((w, np.array(self._ids(w, s), "<i4").tobytes()) for w, s in zip(part, steps))
-
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        return _WORD.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
+                late.update((w, np.array(self._ids(w, s), "<i4").tobytes()) for w, s in zip(part, steps))
+        return late
+
+    def words(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, in parts."""
+        text = (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
+        if len(text) <= _PART:
+            yield _WORD.findall(text)
+            return
+        found = _WORD.finditer(text)
+        while some := [m[0] for m in islice(found, _PART)]:
+            yield some
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text as little-endian 32-bit numbers."""
-        out: list[bytes] = []
-        for k in range(0, len(texts), 2048):
-            cut = [self.words(t or "") for t in texts[k : k + 2048]]
-            self.learn({w for c in cut for w in c})
-            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush():
+            ids = self.learn({w for _, some in held for w in some})
+            for k, some in held:
+                out[k].append(b"".join(map(ids.__getitem__, some)))
+
+        for k, t in enumerate(texts):
+            for some in self.words(t or ""):
+                held.append((k, some))
+                size += len(some)
+                if size >= _PART:
+                    flush()
+                    held, size = [], 0
+        flush()
+        return [b"".join(x) for x in out]
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         return [None if t is None else np.frombuffer(b, "<i4").tolist() for t, b in zip(texts, self.encode_bytes(texts))]
@@ -341,11 +379,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = [None if t is None else np.frombuffer(b, "<i4") for t, b in zip(texts, pieces.encode_bytes(texts))]
-            back = [t is None or pieces.decode(i.tolist()) == t for t, i in zip(texts, ids)]
-            new = {"ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([0 if i is None else len(i) for i in ids], pa.int64()), "round_trip": pa.array(back, pa.bool_())}
-            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in names} | new)
+            for some in slices(batch, "text", 2 << 20):
+                texts = some.column("text").to_pylist()
+                ids = [None if t is None else np.frombuffer(b, "<i4") for t, b in zip(texts, pieces.encode_bytes(texts))]
+                back = [t is None or pieces.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+                new = {"ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([0 if i is None else len(i) for i in ids], pa.int64()), "round_trip": pa.array(back, pa.bool_())}
+                yield pa.RecordBatch.from_pydict({n: some.column(n) for n in names} | new)
+        trim()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{schema}, ids array<int>, n_tokens bigint, round_trip boolean")
@@ -357,17 +397,19 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [None if t is None else t.decode("utf-8", "replace") for t in batch.column("t").to_pylist()]
-            ids = pieces.encode_bytes(texts)
-            back = [t is None or pieces.decode(np.frombuffer(b, "<i4").tolist()) == t for t, b in zip(texts, ids)]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_tokens": pa.array([len(b) // 4 for b in ids], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in ids], pa.string()),
-                    "round_trip": pa.array(back, pa.bool_()),
-                }
-            )
+            for some in slices(batch, "t", 2 << 20):
+                texts = [None if t is None else t.decode("utf-8", "replace") for t in some.column("t").to_pylist()]
+                ids = pieces.encode_bytes(texts)
+                back = [t is None or pieces.decode(np.frombuffer(b, "<i4").tolist()) == t for t, b in zip(texts, ids)]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": some.column("doc_id"),
+                        "n_tokens": pa.array([len(b) // 4 for b in ids], pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in ids], pa.string()),
+                        "round_trip": pa.array(back, pa.bool_()),
+                    }
+                )
+        trim()
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean"
     return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, schema)

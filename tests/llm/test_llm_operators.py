@@ -6,9 +6,11 @@ import math
 import os
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -186,6 +188,28 @@ class TestPieces:
             ids = p.encode([t])[0]
             assert p.decode(ids) == t and abs(sum(p.score[i] for i in ids) - brute("▁" + t.replace(" ", "▁"))) < 1e-9
 
+    def test_few_words_are_remembered(self):
+        p, r = pieces.Pieces.load(MODEL), random.Random(3)
+        texts = [" ".join("".join(r.choices("abcdeinorst", k=8)) for _ in range(2500)) for _ in range(120)]
+        for k in range(0, len(texts), 10):
+            p.encode_bytes(texts[k : k + 10])
+        assert sum(map(len, p.known)) < 250_000  # of 300,000
+
+    def test_large_batches_go_in_parts(self):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": [f"{i} " + "abc def " * 4000 for i in range(200)]})
+        docs = types.SimpleNamespace(columns=batch.schema.names, schema=[], mapInArrow=lambda run, schema: run)
+        parts = list(pieces.encode(docs, MODEL)(iter([batch])))
+        assert [i for x in parts for i in x.column("doc_id").to_pylist()] == list(range(200)) and all(x for p in parts for x in p.column("round_trip").to_pylist())
+        assert max(sum(len(t) for t in p.column("text").to_pylist()) for p in parts) < 3e6
+
+    def test_parts_of_a_long_text_and_remembered_words(self, monkeypatch):
+        texts = ["a  bc " * 40 + " end", None, "", "bc a", " "]
+        want = pieces.Pieces.load(MODEL).encode(texts)
+        monkeypatch.setattr(pieces, "_PART", 7)
+        monkeypatch.setattr(pieces, "_KEPT", 1)
+        p = pieces.Pieces.load(MODEL)
+        assert p.encode(texts) == want and p.encode(texts) == want
+
     def test_frames(self, docs, none):
         got = pieces.digest(docs, MODEL).collect()
         assert len(got) == docs.count() and all(r.round_trip for r in got)
