@@ -244,6 +244,23 @@ class TestSubstringDedup:
         assert a == b and len({d for d, _ in a}) == 12
 
 
+    def test_words_and_sets_of_many_at_once(self):
+        r = random.Random(4)
+        mark: dict[int, bytes] = {}
+        for _ in range(300):
+            text = "".join(r.choice(["a", "B", "b", "c ", "é", "\n", " ", "\x0b", "x" * 70, "X" * 70, "x" * 64, "x" * 65, "\x1f", "汉", "\x00"]) for _ in range(r.randint(0, 60))).encode()
+            page, words = substring_dedup.Page(text, 16, 8), text.lower().split()
+            assert [text[a:b].lower() for a, b in zip(page.a, page.b)] == words
+            assert all(mark.setdefault(h, w) == w for h, w in zip(page.h.tolist(), words, strict=True))
+        assert len(set(mark.values())) == len(mark) > 300
+        cut, h = substring_dedup.Cutter(6, 2, 0, 5), np.array([r.getrandbits(64) for _ in range(90_000)], np.uint64)
+        cuts = np.cumsum([0, *(r.choice([1, 3, 25, 400, 60_000]) for _ in range(4)), 20_000, 7])
+        cuts = cuts[cuts <= len(h)]
+        keys, sets = cut.sketch(cuts, h)[0], cut.sets(cuts, h)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            own = np.array([0, b - a])
+            assert (keys[k] == cut.sketch(own, h[a:b])[0][0]).all() and (sets[k] == np.unique(cut.shingles(own, h[a:b])[0])).all()
+
     def test_recall_of_changed_paragraphs_and_of_passages_inside_lines(self, spark):
         r = random.Random(8)
         texts, changed, inside = [], {}, {}
