@@ -15,8 +15,8 @@ crosses; a model with such a piece is refused. Characters outside the vocabulary
 bytes, or the unknown id where the model has no bytes. A null text encodes as null ids in
 :func:`encode` and counts as no tokens; an empty text has none. Texts are never cut.
 
-Words go through in parts of :data:`_PART`, and a worker remembers the words of late parts only (:data:`_KEPT` and as
-many older ones), so its memory does not grow with the number of different words.
+Words go through in parts of :data:`_PART`, and a worker remembers the words of late parts only: :data:`_KEPT` and those
+of one part, and at most as many older ones. So its memory does not grow with the number of different words.
 """
 
 from __future__ import annotations
