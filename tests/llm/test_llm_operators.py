@@ -244,6 +244,46 @@ class TestSubstringDedup:
         assert a == b and len({d for d, _ in a}) == 12
 
 
+    def test_a_bucket_looks_at_few_pairs_and_links_the_same(self, monkeypatch):
+        r, rows = np.random.default_rng(3), []
+        common = np.arange(10, dtype=np.int64)
+        for _ in range(300):
+            own = np.concatenate([common, r.integers(1 << 40, 1 << 62, r.integers(1, 60))])
+            rows += [own] + [np.concatenate([own[k:], r.integers(1 << 40, 1 << 62, k)]) for k in range(r.integers(0, 5))]
+        rows = [(c, np.unique(s)) for c, s in enumerate(rows)]
+        looked, alike = [], substring_dedup._alike
+        monkeypatch.setattr(substring_dedup, "_alike", lambda a, b, share: looked.append(1) or alike(a, b, share))
+
+        def classes(links):
+            root = list(range(len(rows)))
+            for a, b in links:
+                x, y = root[a], root[b]
+                root = [x if v == y else v for v in root]
+            return {frozenset(i for i, v in enumerate(root) if v == x) for x in root}
+
+        links = substring_dedup._forest(rows, 0.8)
+        assert len(looked) < 5 * len(rows)
+        assert len(classes(links)) == len(rows) - len(links) < len(rows)
+        assert classes(links) == classes(substring_dedup._forest(rows, 0.8, len(rows)))
+
+    def test_unlike_lines_seldom_meet_and_alike_ones_do(self, monkeypatch):
+        got = {}
+        cutter = substring_dedup.Cutter
+        monkeypatch.setattr(substring_dedup, "Cutter", lambda *args: got.update(cut=cutter(*args)) or 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            substring_dedup.passages(None)  # what it cuts with by default
+        r = np.random.default_rng(5)
+
+        def met(part, pairs):
+            words = [r.integers(0, 1 << 63, 100, np.uint64) for _ in range(2 * pairs)]
+            for a, b in zip(words[::2], words[1::2]):
+                b[:part] = a[:part]
+            keys = got["cut"].sketch(np.arange(0, 200 * pairs + 1, 100), np.concatenate(words))[0]
+            return (keys[::2] == keys[1::2]).any(1).mean()
+
+        assert met(90, 3000) >= 0.995  # similarity 0.81
+        assert met(25, 3000) < 0.01  # similarity 0.12
+
     def test_words_and_sets_of_many_at_once(self):
         r = random.Random(4)
         mark: dict[int, bytes] = {}
