@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import common
 from .classifiers import held_out
 from .simhash import LOWER
-from .shards import Bitmap, mixed, pack, runs, shard_count, shard_of, slices, tally, trim, unpack
+from .shards import Bitmap, dealt_by, mixed, pack, parts_of, runs, shard_count, shard_of, slices, tally, trim, unpack
 
 END = b"\n"  # no word holds a line break
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -248,7 +248,7 @@ def _grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return row, place, a, pair
 
 
-def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[DataFrame, int, float]:
+def table(docs: DataFrame, least: int = 2, discount: float = 0.75, parts: int | None = None) -> tuple[DataFrame, int, float]:
     """States and arcs of the whole model as ``(key, v, base, n)``, all tokens, and the root's norm; ``base`` only of words."""
     train = docs.where(~held_out(7, 2)).select(F.col("text").cast("binary").alias("__text"))
 
@@ -257,7 +257,7 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
         at = np.flatnonzero(place > 0)
         return (1, [a[at]]), (2, [a[at - 1], a[at]])
 
-    counted = common.store(tally(train, low, least, 2_000_000, add=mixed), "counts")
+    counted = common.store(tally(train, low, least, 2_000_000, add=mixed, parts=parts), "counts")
     common.release(docs.sparkSession)
     words = counted.where("o = 1").select(F.col("x").alias("h"), F.col("n").alias("c"))
     pairs = counted.where("o = 2").select(F.xxhash64("x", "y").alias("key"), "x", "y", "n")
@@ -272,7 +272,7 @@ def table(docs: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Data
         at = at[has[at] & has[at - 1]]
         return ((3, [pair[at - 1], pair[at]]),)
 
-    triples = common.store(tally(train, high, least, 2_000_000, add=mixed).drop("o"), "triples")
+    triples = common.store(tally(train, high, least, 2_000_000, add=mixed, parts=parts).drop("o"), "triples")
     common.release(docs.sparkSession)
 
     def step(df: DataFrame, *done: DataFrame) -> DataFrame:
@@ -320,7 +320,8 @@ def _planes(x: np.ndarray) -> bytes:
 
 
 def _back(data: bytes, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    """What :func:`_planes` was given, to write to: a single value's bytes would else be a view of ``data``."""
+    return np.array(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T, order="C").view(kind).ravel()
 
 
 def _packed(model: DataFrame, shards: int) -> DataFrame:
@@ -407,7 +408,7 @@ def _asked(docs: DataFrame, cache: tuple, seen: Bitmap, shards: int, flush: int
     return docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(run, _SHARDED)
 
 
-def _answered(dealt: DataFrame) -> DataFrame:
+def _answered(dealt: DataFrame, number: int) -> DataFrame:
     """A partition's part of the model answers its chunks in turn, with a sum for each row."""
 
     def run(batches):
@@ -449,12 +450,14 @@ def _answered(dealt: DataFrame) -> DataFrame:
     def told(chunk, sums):
         one, two = np.flatnonzero(sums[0]), np.flatnonzero(sums[2])
         first = _planes(one.astype(np.uint16)) + _planes(sums[0][one])
-        return _batch([(0, _SUM, chunk, first, _planes(two.astype(np.uint16)) + _planes(sums[1][two]), _planes(sums[2][two].astype(np.uint16)))])
+        known = sums[2][two]
+        known = known.astype(np.uint32 if known.max(initial=0) >> 16 else np.uint16)
+        return _batch([(0, _SUM, chunk, first, _planes(two.astype(np.uint16)) + _planes(sums[1][two]), _planes(known))])
 
-    return dealt.repartition("s").sortWithinPartitions("kind", "chunk").mapInArrow(run, _SHARDED)
+    return dealt_by(dealt, number, "s").sortWithinPartitions("kind", "chunk").mapInArrow(run, _SHARDED)
 
 
-def _summed(answers: DataFrame) -> DataFrame:
+def _summed(answers: DataFrame, number: int) -> DataFrame:
     """One row for each text of a chunk."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("v", pa.float64())])
 
@@ -482,10 +485,10 @@ def _summed(answers: DataFrame) -> DataFrame:
             k = len(b) // 10
             rows = _back(b[: 2 * k], "u2")
             base[rows] += _back(b[2 * k :], "f8")
-            known[rows] += _back(c, "u2")
+            known[rows] += _back(c, "u2" if len(c) == 2 * k else "u4")
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), *map(pa.array, (size, known, base, v))], schema=schema)
 
-    return answers.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, v double")
+    return dealt_by(answers, number, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, "doc_id bigint, n_tokens bigint, n_known bigint, base double, v double")
 
 
 def score(docs: DataFrame, size: int = 200_000, least: int = 2, waves: int = 3) -> DataFrame:
@@ -493,8 +496,9 @@ def score(docs: DataFrame, size: int = 200_000, least: int = 2, waves: int = 3)
 
     Texts look up the model in ``waves`` parts, by a hash of id and text, one after the other: the disk holds the look-ups of one part.
     """
-    whole, total, norm = table(docs, least)
-    often, shards = max(1, -(-total // size)), shard_count(docs.sparkSession)
+    number = parts_of(docs)
+    whole, total, norm = table(docs, least, parts=number)
+    often, shards = max(1, -(-total // size)), shard_count(number)
     cache = whole.where(F.col("n") >= often).select("key", "v", "base").toArrow()
     key = cache.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
@@ -505,7 +509,7 @@ def score(docs: DataFrame, size: int = 200_000, least: int = 2, waves: int = 3)
     parts = []
     for wave in range(waves):
         some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(waves)) == wave)
-        parts.append(common.store(_summed(_answered(_packed(model, shards).unionByName(_asked(some, held, seen, shards)))), "scored"))
+        parts.append(common.store(_summed(_answered(_packed(model, shards).unionByName(_asked(some, held, seen, shards)), number), number), "scored"))
         common.release(docs.sparkSession)
     common.drop(whole)
     scored = reduce(DataFrame.unionByName, parts)

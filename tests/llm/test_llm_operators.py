@@ -495,6 +495,28 @@ class TestLanguageModel:
                 assert train and abs(model.walk(w)[0] + once - r.score) < 1e-6, (size, r)
 
 
+    def test_shards_grow_with_the_texts_whatever_the_session_says(self, spark, docs, monkeypatch):
+        want = sorted(map(str, backoff_lm.score(docs).collect()))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+        monkeypatch.setattr(shards, "_TEXT", size // 40)
+        number, dealt = shards.parts_of(docs), []
+        repartition = type(docs).repartition
+        monkeypatch.setattr(type(docs), "repartition", lambda self, n, *cols: dealt.append(n) or repartition(self, n, *cols))
+        assert number >= 40 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        got = sorted(map(str, backoff_lm.score(docs).collect()))
+        assert [g[: g.index("base_score")] for g in got] == [w[: w.index("base_score")] for w in want] and dealt.count(number) == 8
+
+    def test_a_text_may_hold_a_word_more_often_than_two_bytes_count(self, spark):
+        docs = frame(spark, ["w " * 70_000, "a b w", "w a", *["a b c"] * 9])
+        rows = {r.doc_id: r for r in backoff_lm.score(docs, size=1).collect()}
+        assert rows[0].n_known == rows[0].n_tokens == 70_001
+
+    def test_a_chunk_of_one_text(self, spark):
+        docs = frame(spark, ["a b c a b", "a b c"])
+        for some in (docs.where("doc_id = 0"), docs.repartition(2, "doc_id")):
+            rows = backoff_lm.score(some, size=1).collect()
+            assert len(rows) == some.count() and all(r.n_known == r.n_tokens > 1 and r.score < 0 for r in rows)
+
     def test_hashes_tell_words_apart(self):
         r = random.Random(4)
         texts = [None, b"", b" ", b"A a\tb\x0bB\x0cx\ry\nz", b"x" * 513 + b" " + b"X" * 512 + b" y " + b"x" * 513, b"\x00 a\x00 a"]
